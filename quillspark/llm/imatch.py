@@ -24,7 +24,7 @@ from .common import _MULT, BYTES_FOLDED, Powers, ensure_importable, mix64, span_
 
 RARE, FREQUENT = 0.001, 0.1
 #: One subset for each entry: it keeps one in so many terms of the lexicon.
-SUBSETS = (4, 4, 8, 8, 8, 8, 16, 16, 16, 16, 16, 16, 32, 32, 32, 32, 32, 32, 64, 64, 64, 64, 64, 64)
+SUBSETS = (4, 8, 16, 16, 32, 32, 64, 64, 64, 64, 128, 128, 128, 128, 256, 256, 256, 256, 256, 512, 512, 512, 512, 512)
 BUCKET_ROWS, MAX_BUCKETS = 2000, 4096
 _FLUSH = 1 << 21
 

@@ -40,23 +40,23 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _letters() -> np.ndarray:
-    """Which code points are letters (or combining marks of one): the rest separate words."""
+def _letters(kinds: str) -> np.ndarray:
+    """Which code points are letters (L) or marks on them (M)."""
     import unicodedata
 
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x3000)], bool)
+    return np.array([unicodedata.category(chr(c))[0] in kinds for c in range(0x3000)], bool)
 
 
 class Grams:
     """Turns texts into slots of their n-grams."""
 
     def __init__(self) -> None:
-        self.letter = _letters()
+        self.letter, self.part = _letters("L"), _letters("LM")
 
-    def is_letter(self, cp: np.ndarray) -> np.ndarray:
-        low = cp < self.letter.size
+    def is_letter(self, cp: np.ndarray, table: np.ndarray) -> np.ndarray:
+        low = cp < table.size
         out = np.zeros(cp.size, bool)
-        out[low] = self.letter[cp[low]]
+        out[low] = table[cp[low]]
         if not low.all():  # beyond the table, Python's own test
             far, back = np.unique(cp[~low], return_inverse=True)
             out[~low] = np.array([chr(c).isalpha() if c < 0xD800 or c > 0xDFFF else False for c in far.tolist()], bool)[back]
@@ -68,8 +68,8 @@ class Grams:
         size = np.array([len(t) for t in low], np.int64)
         cp = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
         row = np.repeat(np.arange(len(texts)), size)
-        letter = self.is_letter(cp)
-        has = np.bincount(row[letter], minlength=len(texts)) > 0
+        has = np.bincount(row[self.is_letter(cp, self.letter)], minlength=len(texts)) > 0
+        letter = self.is_letter(cp, self.part)
         cp = np.where(letter, cp, np.uint32(32))
         keep = letter.copy()  # one separator for each run of others
         keep[1:] |= ~letter[1:] & letter[:-1]
@@ -221,12 +221,13 @@ def identify_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     return out.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
-#: Share of the scores below which the best language counts as no decision.
-MIN_SCORE = 0.3
+#: How far above an even share of the scores the best language has to be.
+MIN_LEAD = 1.1
 
 
-def with_known_language(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` without the rows rejected: no letter, or no language that stands out by ``min_score``."""
+def with_known_language(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_lead: float = MIN_LEAD) -> DataFrame:
+    """``docs`` without the rows rejected: no letter, or of several languages none that stands out by ``min_lead``."""
     model = train(docs, id_col, text_col, lang_col)
     scored = predict(spark, docs, model, text_col, tuple(docs.columns))
-    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)
+    even = 1 / len(model.languages) if model else 1.0
+    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min(min_lead * even, 0.99))).select(*docs.columns)

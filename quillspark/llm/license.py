@@ -1,6 +1,7 @@
 """Licence notices in paragraphs: a trained classifier proposes a family, comparison with its templates confirms it.
 
-Paragraphs are lines. Features are hashed words and word pairs, as in the quality classifier. A softmax regression over
+Paragraphs are lines. Features are hashed words and word pairs, as in the quality classifier, but with
+numbers as written, since versions tell families apart. A softmax regression over
 the families and ``unknown`` is trained on variants of the templates (cut, with words dropped or replaced) against
 paragraphs of the corpus, at most ``NEGATIVES`` of them, those with the smallest hashes, that share no telling word with
 any template. A temperature fitted on a held-out part of these calibrates the probabilities. A paragraph whose best
@@ -103,7 +104,7 @@ def variants(rng: np.random.Generator, n: int = VARIANTS) -> list[tuple[str, str
 
 def _sparse(texts: list[str], powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, places, values = [], [], []
-    for lo, _, owner, place, value in features(pa.array(texts, pa.string()), powers, BITS):
+    for lo, _, owner, place, value in features(pa.array(texts, pa.string()), powers, BITS, False):
         rows.append(owner + lo)
         places.append(place)
         values.append(value)
@@ -180,7 +181,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
                 doc = pc.list_parent_indices(split).to_numpy()
                 first = np.r_[0, np.cumsum(np.bincount(doc, minlength=b.num_rows))]
                 out: list[tuple] = []
-                for lo, hi, owner, place, value in features(lines, powers, BITS):
+                for lo, hi, owner, place, value in features(lines, powers, BITS, False):
                     known = spot[place] >= 0
                     owner, place, value = owner[known], spot[place[known]], value[known]
                     z = np.stack([np.bincount(owner, weights=value * table[place, c], minlength=hi - lo) + bias[c] for c in range(len(classes))], axis=1) / heat
