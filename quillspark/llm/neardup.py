@@ -7,10 +7,15 @@ steps, all over every document:
 2. Inverted lists: every value that two or more sketches retain lists its nodes. A pair that links shares most of its
    sketch, so each node is listed only under its rarest retained values, just as many as such a pair cannot avoid
    (prefix filtering). Passages and lines that many documents share thereby make no long lists, and nothing is capped.
-3. Each list proposes its best connected node against the others (a star, linear in the list). The union sketch
-   estimates each overlap and drops the clearly unlike; exact Jaccard on full sets confirms the rest.
-4. Components of the confirmed links. Lists that then still hold nodes of different components propose all pairs across
-   components, which are estimated and confirmed in the same way, so no link between components is lost.
+3. Each list proposes its best connected node, its head, against the others (a star, linear in the list). The union
+   sketch estimates each overlap and drops the clearly unlike; exact Jaccard on full sets confirms the rest.
+4. Components of the confirmed links. Lists that then still hold nodes of different components are open, and propose
+   pairs across components, unless counts prove that no link is possible. The proof uses the shingles that no other
+   node of an open list holds (``u`` of them) and the distance ``d`` to the list's head, both exact: a link allows a
+   symmetric difference of at most T = (1 - t) / (1 + t) * (n + n'); the two nodes' differences from the head overlap in
+   at most min(d - u, d' - u') shingles, so d + d' - 2 min(d - u, d' - u') <= T is needed. Groups of many copies edited
+   too much to link thus propose next to nothing. What is proposed is estimated and confirmed as before, so no link
+   between components is lost.
 
 The estimate keeps a pair down to ``slack`` below the threshold (over five standard deviations at the default ``k``);
 sets no larger than the sketch are compared exactly at once.
@@ -101,11 +106,11 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int,
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
     met = met.withColumn("whole", whole).withColumn("hits", F.when(whole, F.size(both)).otherwise(F.size(F.array_intersect(union, both)))).withColumn("of", F.when(whole, F.size(F.array_union("sa", "sb"))).otherwise(F.size(union)))
     fits = F.when(F.col("whole"), F.col("hits") * den >= F.col("of") * num).otherwise(F.col("hits") >= F.ceil(F.col("of") * (num / den - slack)))
-    return met.where(fits).select("a", "b", F.col("whole").alias("sure"))
+    return met.where(fits).select("a", "b", F.col("whole").alias("sure"), "hits")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``node, full`` (sorted hashes as bytes) for the wanted nodes (``node, rid``), made again from their texts."""
+    """``node, full`` (sorted hashes) for the wanted nodes (``node, rid``), made again from their texts."""
     bits = F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS))
     cells = wanted.select(bits.alias("bit")).groupBy(F.expr("bit div 32").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("mask")).collect()
     table = np.zeros(FILTER_BITS // 32, np.uint32)
@@ -120,33 +125,61 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
             maybe = (filled.value[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1
             b = b.filter(pa.array(maybe))
             for lo, hi, offs, sets in shingle_sets(b.column(2), width, powers):
-                raw = pa.py_buffer(np.ascontiguousarray(sets).tobytes())
-                full = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((offs * 8).astype(np.int32).tobytes()), raw])
+                full = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(sets, pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(_digest(sets, offs), pa.int64()), full], names=["rid", "node", "full"])
 
     rows = docs.select(_row_id(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text")).select("rid", bits.cast("long").alias("bit"), "text")
-    made = rows.mapInArrow(run, "rid long, node long, full binary")
+    made = rows.mapInArrow(run, "rid long, node long, full array<long>")
     return made.join(wanted, ["rid", "node"]).groupBy("node").agg(F.first("full").alias("full"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``a, b`` with ``linked``: exact Jaccard of the full sets against the threshold."""
+    """Pairs ``a, b`` with ``same``, the size of their intersection, and ``linked``: exact Jaccard against the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = np.zeros(b.num_rows, bool)
+            same = np.zeros(b.num_rows, np.int64)
+            linked = np.zeros(b.num_rows, bool)
             fa, fb = b.column(2), b.column(3)
+            va, vb = fa.values.to_numpy(), fb.values.to_numpy()
+            oa, ob = fa.offsets.to_numpy(), fb.offsets.to_numpy()
             for i in range(b.num_rows):
-                x, y = np.frombuffer(fa[i].as_buffer(), np.int64), np.frombuffer(fb[i].as_buffer(), np.int64)
-                if min(x.size, y.size) * den < num * max(x.size, y.size):
-                    continue
+                x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
                 spot = np.minimum(np.searchsorted(y, x), y.size - 1)
-                same = int(np.count_nonzero(y[spot] == x))
-                ok[i] = same * den >= num * (x.size + y.size - same)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], names=["a", "b", "linked"])
+                same[i] = np.count_nonzero(y[spot] == x)
+                linked[i] = same[i] * den >= num * (x.size + y.size - same[i])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array(linked)], names=["a", "b", "same", "linked"])
 
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("full").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("full").alias("fb")), "b")
-    return met.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long, linked boolean")
+    return met.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long, same long, linked boolean")
+
+
+def _checked(spark: SparkSession, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b, same, linked`` for all estimated pairs; those of small sets are settled already."""
+    judged = _confirmed(pairs.where("not sure").select("a", "b"), sets, num, den)
+    return materialize(spark, judged.union(pairs.where("sure").select("a", "b", F.col("hits").cast("long"), F.lit(True))), "judged")
+
+
+def _wanted(spark: SparkSession, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    return materialize(spark, nodes.distinct().join(classes.select("node", "rid"), "node").select("node", "rid"), "wanted")
+
+
+def _open_pairs(spark: SparkSession, open_lists: DataFrame, sets: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a, b`` across components that share a list and that counts don't rule out."""
+    held = sets.select("node", F.explode("full").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    alone = held.where("c = 1").groupBy("node").agg(F.count("*").alias("u")).select(F.col("node").alias("_n"), "u")
+    counted = open_lists.join(alone, F.col("node") == F.col("_n"), "left").drop("_n").withColumn("u", F.coalesce("u", F.lit(0)))
+    able = counted.where(F.col("u") * num <= (F.col("n") - F.col("u")) * (den - num))
+    to_head = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "same")
+    near = able.join(to_head, (F.greatest("node", "h") == F.col("_a")) & (F.least("node", "h") == F.col("_b")), "left")
+    near = near.select("value", "node", "n", "label", "u", F.when(F.col("node") == F.col("h"), 0).otherwise(F.col("n") + F.col("hn") - 2 * F.col("same")).alias("d"))
+    near = materialize(spark, near, "open")
+    other = near.select(F.col("value").alias("_v"), F.col("node").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"), F.col("u").alias("ou"), F.col("d").alias("od"))
+    both = F.least(F.col("n") - F.col("u"), F.col("on") - F.col("ou")) * (den - num) >= (F.col("u") + F.col("ou")) * num
+    apart = F.col("d") + F.col("od") - 2 * F.least(F.col("d") - F.col("u"), F.col("od") - F.col("ou"))
+    close = F.coalesce(apart * (den + num) <= (F.col("n") + F.col("on")) * (den - num), F.lit(True))
+    met = near.join(other, (F.col("value") == F.col("_v")) & (F.col("label") < F.col("ol")) & _size_fits("n", "on", num, den) & both & close)
+    return met.select(F.greatest("node", "o").alias("a"), F.least("node", "o").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def near_duplicate_groups(
@@ -167,20 +200,22 @@ def near_duplicate_groups(
     listed = materialize(spark, _listed(classes, k, num, den, slack), "lists")
 
     heads = listed.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("head"), F.count("*").alias("c")).where("c > 1").select(F.col("value").alias("_v"), F.col("head.node").alias("h"), F.col("head.n").alias("hn"))
-    stars = listed.join(heads, listed["value"] == heads["_v"]).where((F.col("node") != F.col("h")) & _size_fits("n", "hn", num, den)).select(F.greatest("node", "h").alias("a"), F.least("node", "h").alias("b")).distinct()
+    led = materialize(spark, listed.join(heads, listed["value"] == heads["_v"]).select("value", "node", "n", "h", "hn"), "led")
+    stars = led.where((F.col("node") != F.col("h")) & _size_fits("n", "hn", num, den)).select(F.greatest("node", "h").alias("a"), F.least("node", "h").alias("b")).distinct()
     first = materialize(spark, _estimated(stars, classes, k, num, den, slack), "stars")
-    links, tried = _checked(spark, docs, first, classes, id_col, text_col, width, num, den)
+    unsure = first.where("not sure")
+    wanted = _wanted(spark, unsure.select(F.col("a").alias("node")).union(unsure.select("b")), classes)
+    tried = _checked(spark, first, materialize(spark, _full_sets(docs, wanted, id_col, text_col, width), "sets"), num, den)
+    links = tried.where("linked").select("a", "b")
     labels = components(spark, links)
 
-    marked = listed.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("value", "node", "n", F.coalesce("label", "node").alias("label"))
+    marked = led.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("value", "node", "n", "h", "hn", F.coalesce("label", "node").alias("label"))
     mixed = marked.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("value").alias("_v"))
-    open_lists = materialize(spark, marked.join(mixed, F.col("value") == F.col("_v")).drop("_v"), "open")
-    other = open_lists.select(F.col("value").alias("_v"), F.col("node").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"))
-    across = open_lists.join(other, (F.col("value") == F.col("_v")) & (F.col("label") < F.col("ol")) & _size_fits("n", "on", num, den)).select(F.greatest("node", "o").alias("a"), F.least("node", "o").alias("b")).distinct()
-    fresh = across.join(tried, ["a", "b"], "left_anti")
-    second = materialize(spark, _estimated(fresh, classes, k, num, den, slack), "across")
-    if second.take(1):
-        more, _ = _checked(spark, docs, second, classes, id_col, text_col, width, num, den)
+    open_lists = materialize(spark, marked.join(mixed, F.col("value") == F.col("_v")).drop("_v"), "mixed")
+    sets = materialize(spark, _full_sets(docs, _wanted(spark, open_lists.select("node"), classes), id_col, text_col, width), "sets")
+    second = materialize(spark, _estimated(_open_pairs(spark, open_lists, sets, tried, num, den), classes, k, num, den, slack), "across")
+    more = _checked(spark, second, sets, num, den).where("linked").select("a", "b")
+    if more.take(1):
         labels = components(spark, links.union(more))
 
     homes = classes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
@@ -191,16 +226,6 @@ def near_duplicate_groups(
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
-def _checked(spark, docs, pairs, classes, id_col, text_col, width, num, den) -> tuple[DataFrame, DataFrame]:
-    """Links among the estimated pairs, and all pairs that were looked at."""
-    open_pairs = pairs.where("not sure").select("a", "b")
-    wanted = open_pairs.select(F.col("a").alias("node")).union(open_pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "rid"), "node").select("node", "rid")
-    sets = materialize(spark, _full_sets(docs, materialize(spark, wanted, "wanted"), id_col, text_col, width), "sets")
-    judged = materialize(spark, _confirmed(open_pairs, sets, num, den), "judged")
-    links = pairs.where("sure").select("a", "b").union(judged.where("linked").select("a", "b"))
-    return links, pairs.select("a", "b")
-
-
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group; a document without words stays.
 
