@@ -171,7 +171,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred, score``. Texts that are null or without a letter get ``und`` and 0."""
+    """``k0, k1, ...`` (the ``keep`` columns), ``lang_pred, score``. Null and letterless texts get ``und`` and 0."""
     ensure_importable(spark)
     columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     at_text = keep.index(text_col) if text_col in keep else len(keep)
@@ -206,7 +206,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None, text_col:
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(score)], names=[*b.schema.names[: len(keep)], "lang_pred", "score"])
 
         out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return out
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
@@ -218,7 +218,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     """
     model = train(docs, id_col, text_col, lang_col, **options)
     out = predict(spark, docs, model, text_col, (id_col,))
-    return out.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), "lang_pred", "score")
+    return out.select(F.col("k0").alias("doc_id"), held_out("k0").alias("held_out"), "lang_pred", "score")
 
 
 #: How far above an even share of the scores the best language has to be.
@@ -230,4 +230,4 @@ def with_known_language(spark: SparkSession, docs: DataFrame, id_col: str = "doc
     model = train(docs, id_col, text_col, lang_col)
     scored = predict(spark, docs, model, text_col, tuple(docs.columns))
     even = 1 / len(model.languages) if model else 1.0
-    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min(min_lead * even, 0.99))).select(*docs.columns)
+    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min(min_lead * even, 0.99))).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -1,7 +1,7 @@
 """Licence notices in paragraphs: a trained classifier proposes a family, comparison with its templates confirms it.
 
-Paragraphs are lines. Features are hashed words and word pairs, as in the quality classifier, but with
-numbers as written, since versions tell families apart. A softmax regression over
+Paragraphs are lines. Features are hashed words and word pairs, as in the quality classifier, but as
+written, since versions and abbreviations tell families apart. A softmax regression over
 the families and ``unknown`` is trained on variants of the templates (cut, with words dropped or replaced) against
 paragraphs of the corpus, at most ``NEGATIVES`` of them, those with the smallest hashes, that share no telling word with
 any template. A temperature fitted on a held-out part of these calibrates the probabilities. A paragraph whose best

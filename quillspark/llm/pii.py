@@ -55,7 +55,7 @@ HINTS = {
     "secret": r"text rlike '[A-Za-z0-9_]{16}' and text rlike '[0-9]'",
 }
 STRICT = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,}$",
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\\.)++[A-Za-z]{2,}$",
     "ip": r"^(?:[1-9][0-9]{0,2})(?:\\.(?:0|[1-9][0-9]{0,2})){3}$",
     "card": r"^(?:[0-9]{15,16}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
     "phone": r"^\\+[0-9]{1,3}[ .-]?\\(?[0-9]{2,4}\\)?(?:[ .-]?[0-9]{2,4}){2,4}$",
@@ -137,19 +137,19 @@ def candidates(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 def estimate(counts: dict[str, int], rounds: int = 60) -> dict[str, float]:
     """Posterior of each pattern by expectation-maximisation over labelers that err independently given the truth."""
     share = {k: 0.9 if k in BASE else 0.5 for k in KINDS}
-    hit = {(k, j): 0.8 for k in KINDS for j in range(3)}
-    alarm = {(k, j): 0.2 for k in KINDS for j in range(3)}
+    # How often each labeler fires on true and on false candidates: prior counts, which also say that it beats chance.
+    prior_hit, prior_alarm = ((8, 2), (5, 5), (5, 5)), ((2, 8), (1, 9), (1, 9))
+    hit = {(k, j): a / (a + b) for k in KINDS for j, (a, b) in enumerate(prior_hit)}
+    alarm = {(k, j): a / (a + b) for k in KINDS for j, (a, b) in enumerate(prior_alarm)}
     post: dict[str, float] = {}
     for _ in range(rounds):
         for p in counts:
             kind, votes, _ = p.split(":")
             yes, no = math.log(share[kind]), math.log(1 - share[kind])
             for j, v in enumerate(votes):
-                # A list or cue that doesn't fire abstains; only the strict form says no.
-                if v != "-":
-                    h, a = hit[kind, j], alarm[kind, j]
-                    yes += math.log(h if v == "1" else 1 - h)
-                    no += math.log(a if v == "1" else 1 - a)
+                h, a = hit[kind, j], alarm[kind, j]
+                yes += math.log(h if v == "1" else 1 - h)
+                no += math.log(a if v == "1" else 1 - a)
             post[p] = 1 / (1 + math.exp(max(-50.0, min(50.0, no - yes))))
         for kind in {p.split(":")[0] for p in counts}:
             own = [p for p in counts if p.split(":")[0] == kind]
@@ -158,10 +158,9 @@ def estimate(counts: dict[str, int], rounds: int = 60) -> dict[str, float]:
             share[kind] = min(0.98, max(0.02, (true + 1) / (total + 2)))
             for j in range(3):
                 fired = [p for p in own if p.split(":")[1][j] == "1"]
-                spoke = [p for p in own if p.split(":")[1][j] != "-"]
-                # Beta priors say that labelers beat chance, which also keeps the two classes from swapping.
-                hit[kind, j] = (sum(counts[p] * post[p] for p in fired) + 8) / (sum(counts[p] * post[p] for p in spoke) + 10)
-                alarm[kind, j] = (sum(counts[p] * (1 - post[p]) for p in fired) + 2) / (sum(counts[p] * (1 - post[p]) for p in spoke) + 10)
+                (a, b), (c, d) = prior_hit[j], prior_alarm[j]
+                hit[kind, j] = (sum(counts[p] * post[p] for p in fired) + a) / (true + a + b)
+                alarm[kind, j] = (sum(counts[p] * (1 - post[p]) for p in fired) + c) / (total - true + c + d)
     return post
 
 
@@ -170,7 +169,7 @@ def _features(pattern: str) -> list[str]:
     return ["bias", f"kind {kind}", f"regex {votes[0]}", f"gazetteer {votes[1]}", f"context {votes[2]}", f"{kind} length {shape[0]}", f"{kind} digits {shape[1]}", f"{kind} votes {votes}"]
 
 
-def classify(counts: dict[str, int], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
+def classify(counts: dict[str, int], steps: int = 1500, rate: float = 1.0, decay: float = 1e-4) -> dict[str, float]:
     """Probability of each pattern by a logistic classifier trained on the posteriors, patterns weighed by counts."""
     post = estimate(counts)
     total = sum(math.log1p(n) for n in counts.values())

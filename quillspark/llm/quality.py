@@ -38,8 +38,11 @@ _SMALL[97:123] = True
 _CAPITALS, _REPEAT, _NUMBER = (mix64(np.array([n], np.uint64) * _MULT)[0] for n in (11, 12, 13))
 
 
-def features(texts: pa.Array, powers: Powers, bits: int = BITS, fold_numbers: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of rows: first row, end row, and row, place and value of every feature."""
+def features(texts: pa.Array, powers: Powers, bits: int = BITS, marks: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of rows: first row, end row, and row, place and value of every feature.
+
+    With ``marks``, capitals, repetitions and numbers stand for the words they are; without, words stand for themselves.
+    """
     for lo, hi, data, offs in text_chunks(texts):
         rows = hi - lo
         if not data.size:
@@ -67,7 +70,7 @@ def features(texts: pa.Array, powers: Powers, bits: int = BITS, fold_numbers: bo
         # The token before is the repeated word, whatever mark it got itself.
         again = np.zeros(at.size, bool)
         again[1:] = word[1:] & (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-        token = np.where(again, _REPEAT, np.where(shout, _CAPITALS, np.where((kind[at] == 2) & fold_numbers, _NUMBER, h)))
+        token = np.where(again, _REPEAT, np.where(shout, _CAPITALS, np.where(kind[at] == 2, _NUMBER, h))) if marks else h
         pair = mix64(token[:-1] * _STEP + token[1:])[row[1:] == row[:-1]]
         places = np.concatenate([token, pair]) & np.uint64((1 << bits) - 1)
         owner = np.concatenate([row, row[1:][row[1:] == row[:-1]]])
