@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, materialize
+from .common import bounded_sample, ensure_importable, materialize
 
 CENTROIDS, SAMPLE, ROUNDS = 64, 20_000, 15
 VISIT, VISIT_LEAST = 0.35, 4000
@@ -95,7 +95,7 @@ def search(
     ensure_importable(spark)
     result = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors, id_col, vector_col)
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
+    drawn = bounded_sample(rows, "vec_id", sample).select("v").toArrow()
     if not drawn.num_rows:
         return spark.createDataFrame([], result)
     units = _unit(_matrix(drawn.column("v").combine_chunks()))
