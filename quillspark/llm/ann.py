@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, ensure_importable, materialize
 
 CENTROIDS, SAMPLE, ROUNDS = 64, 20_000, 15
-VISIT, VISIT_LEAST = 0.35, 4000
+VISIT, VISIT_LEAST = 0.45, 4000
 BLOCK_ROWS, QUERY_ROWS = 4096, 2048
 NEAREST, QUERY_EVERY = 5, 50
 
