@@ -56,3 +56,12 @@ def test_translation_run(spark):
     assert {("block-0002", "omission"), ("block-0003", "addition"), ("block-0003", "term_policy"), ("block-0001", "protected"), ("block-0001", "quantity"), ("block-0001", "drift")} <= set(rows(issues, "block_id", "rule"))
     rollup, repair = runs.translation_report(issues)
     assert dict(rows(rollup, "rule", "status"))["protected"] == "fail" and "block-0001" in {r[0] for r in rows(repair, "block_id")}
+
+
+def test_nfkc(spark):
+    from quillspark.functions import unicode as U
+    from quillspark.runtime import prepare
+
+    prepare(spark)
+    df = spark.createDataFrame([("ＬＬＭ ﬁne", "LLM"), (None, "x")], "a string, b string")
+    assert rows(df.select(U.nfkc(F.col("a")).alias("n"), U.contains_term(F.col("a"), F.col("b")).alias("c")), "n", "c") == [("LLM fine", True), ("", False)]
