@@ -175,11 +175,11 @@ def test_probe(spark):
     assert (s["total"], s["same_as_input"], s["placeholder_break_rate"], s["meets_thresholds"]) == (3, 2, 0.3333, False)
 
 
-def bundle(spark, **change):
-    """A complete record of one question, or one with a table replaced."""
+def tables():
+    """A complete record of one question."""
     report = "# Summary\n" + "Enough text about the matter at hand to count as substance. " * 3 + "\n# Scope\ns\n# Limits\nl\n# Sources\n[A1] x\n## Answer one\nThe market grew by a lot in the last year [A1] as shown in the record.\n"
     none = {"Q1": []}
-    tables = {
+    return {
         "bundles": ([("B", "complete", report, {"executive_summary": "# Summary", "scope_and_method": "# Scope", "limitations": "# Limits", "sources": "# Sources"})], "bundle_id string, research_status string, report string, report_sections map<string,string>"),
         "questions": ([("B", 0, "Q1", "what?", "answered", "## Answer one", ["official_document"], False, ["freshness"], [], [], None, None)], "bundle_id string, pos int, question_id string, question string, status string, answer_section string, required_source_kinds array<string>, independent_evidence_required boolean, required_checks array<string>, required_objects array<string>, required_dimensions array<string>, current_evidence string, next_step string"),
         "sources": ([("B", 0, "A1", "t", "p", "https://a.b/c", None, "2024-01-02", "full_text", "host_opened_page", "official_document", "independent", ["Q1"])], "bundle_id string, pos int, source_id string, title string, publisher string, url string, published_at string, accessed_at string, access_status string, content_origin string, source_kind string, stakeholder_relation string, question_ids array<string>"),
@@ -189,11 +189,11 @@ def bundle(spark, **change):
             "bundle_id string, pos int, round_id string, round_type string, target_question_ids array<string>, strategy_types map<string,array<string>>, checks_completed map<string,array<string>>, objects_checked map<string,array<string>>, dimensions_checked map<string,array<string>>, conclusion_impact map<string,string>",
         ),
     }
-    made = {}
-    for name, (data, schema) in tables.items():
-        data = change[name](data) if name in change else data
-        made[name] = spark.createDataFrame(data, schema)
-    return made
+
+
+def bundle(spark, **change):
+    """That record as DataFrames, with tables replaced."""
+    return {name: spark.createDataFrame(change[name](data) if name in change else data, schema) for name, (data, schema) in tables().items()}
 
 
 def replaced(row, **at):
@@ -242,10 +242,25 @@ def test_complete_record_has_no_findings(spark):
     assert rows(status, "delivery_status") == [("reviewed_pass",)]
 
 
-@pytest.mark.parametrize("table, change, code", MUTATIONS, ids=[m[2] for m in MUTATIONS])
-def test_one_fault_is_found(spark, table, change, code):
-    found = research.validate(**bundle(spark, **{table: change}))
-    assert code in {r[0] for r in rows(found, "code")}
+@pytest.fixture(scope="module")
+def codes(spark):
+    """Codes found for each mutated record; all records are validated together."""
+    data, schemas = {}, {}
+    for k, (table, change, _) in enumerate(MUTATIONS):
+        for name, (rows_, schema) in tables().items():
+            schemas[name] = schema
+            made = change(rows_) if name == table else rows_
+            data.setdefault(name, []).extend((f"M{k}", *r[1:]) for r in made)
+    found = research.validate(**{n: spark.createDataFrame(data[n], schemas[n]) for n in data})
+    out = {}
+    for b, c in rows(found, "bundle_id", "code"):
+        out.setdefault(b, set()).add(c)
+    return out
+
+
+@pytest.mark.parametrize("k", range(len(MUTATIONS)), ids=[m[2] for m in MUTATIONS])
+def test_one_fault_is_found(codes, k):
+    assert MUTATIONS[k][2] in codes.get(f"M{k}", set())
 
 
 def test_stop_and_review(spark):
