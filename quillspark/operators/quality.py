@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import small
 
 #: How bad a status or severity is.
 RANKS = {"skipped": 0, "ok": 0, "pass": 0, "warn": 1, "partial": 2, "blocking": 2, "fail": 2}
@@ -183,7 +184,7 @@ def dashboard(records: DataFrame, by: list[str]) -> DataFrame:
 
 def badges(counters: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules (badge, counter, least) that a user's counters (user_id, counter, value) reach, once each."""
-    return counters.join(F.broadcast(rules), "counter").where(F.col("value") >= F.col("least")).select("user_id", "badge").distinct()
+    return counters.join(small(rules), "counter").where(F.col("value") >= F.col("least")).select("user_id", "badge").distinct()
 
 
 def key_texts_missing(source: DataFrame, target: DataFrame, limit: int = 12) -> DataFrame:

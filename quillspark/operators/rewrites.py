@@ -13,12 +13,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import small
+from .terms import term_hits
 
 
 def apply_dictionary(rows: DataFrame, source: str, target: str, replacements: DataFrame) -> DataFrame:
     """Adds ``rewritten`` and ``n_replaced``: replacements (pos, term, old, new) in order, where the source has their term.
 
-    The table is small and is broadcast if Spark finds it so; each row then folds over the ones that apply to it.
+    The table is gathered into one row, as a dictionary that a reader of the source holds; each row then folds over the
+    entries that apply to it.
     """
     table = replacements.agg(F.array_sort(F.collect_list(F.struct("pos", "term", "old", "new"))).alias("_table"))
     met = rows.crossJoin(F.broadcast(table))  # one row
@@ -44,7 +47,7 @@ def unnest_names(c: Column, depth: int = 4) -> Column:
 def role_dictionary(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Adds ``direct``: the output that a dictionary (role, source, output) fixes for a line, by normal form."""
     d = dictionary.select(F.col("role").alias("_r"), T.normalize(F.col("source")).alias("_s"), F.col("output").alias("direct")).dropDuplicates(["_r", "_s"])
-    return rows.join(F.broadcast(d), (F.col("role") == F.col("_r")) & (T.normalize(F.col("text")) == F.col("_s")), "left").drop("_r", "_s")
+    return rows.join(small(d), (F.col("role") == F.col("_r")) & (T.normalize(F.col("text")) == F.col("_s")), "left").drop("_r", "_s")
 
 
 def map_fragments(text: str, fragments: dict[str, str]) -> str:
@@ -167,10 +170,13 @@ def plain_translation(c: Column) -> Column:
 
 
 def policy_context(blocks: DataFrame, terms: DataFrame, most: int = 16, line: int = 260) -> DataFrame:
-    """``block_id, context``: terms (term, expected, note) as lines for a prompt, those the block holds first."""
-    t = terms.select("term", "expected", F.substring(T.text("note"), 1, 120).alias("note"), F.monotonically_increasing_id().alias("_p")) if "pos" not in terms.columns else terms.select("term", "expected", F.substring(T.text("note"), 1, 120).alias("note"), F.col("pos").alias("_p"))
-    met = blocks.select("block_id", "text").join(F.broadcast(t)).withColumn("_hit", T.contains_term(F.col("text"), F.col("term")))
-    ranked = met.withColumn("_n", F.row_number().over(W.partitionBy("block_id").orderBy(F.desc("_hit"), "_p"))).where(F.col("_n") <= most)
+    """``block_id, context``: terms (pos, term, expected, note) as lines for a prompt, those the block holds first."""
+    t = terms.select("term", "expected", F.substring(T.text("note"), 1, 120).alias("note"), F.col("pos").alias("_p"))
+    hits = term_hits(blocks.select(F.lit(0).alias("doc_id"), "block_id", F.lit(0).alias("pos"), "text"), t).select("block_id", "term").distinct()
+    held = hits.join(t, "term").select("block_id", "term", "expected", "note", "_p", F.lit(1).alias("_hit"))
+    first = t.orderBy("_p").limit(most)  # no block needs more of the terms that it doesn't hold
+    rest = blocks.select("block_id").distinct().crossJoin(F.broadcast(first)).join(hits, ["block_id", "term"], "left_anti").select("block_id", "term", "expected", "note", "_p", F.lit(0).alias("_hit"))
+    ranked = held.unionByName(rest).withColumn("_n", F.row_number().over(W.partitionBy("block_id").orderBy(F.desc("_hit"), "_p"))).where(F.col("_n") <= most)
     written = F.substring(F.concat_ws(" ", F.concat(F.lit("- "), "term", F.lit(" => "), T.text("expected")), F.nullif(F.col("note"), F.lit(""))), 1, line)
     out = ranked.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("_n", written.alias("w")))).alias("b"))
     return out.select("block_id", F.array_join(F.transform("b", lambda x: x["w"]), "\n").alias("context"))
@@ -190,13 +196,13 @@ def page_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     t = T.text("text")
     hits = F.size(F.filter("_any", lambda p: F.regexp_like(t, p)))
     ok = F.forall("_all", lambda p: F.regexp_like(t, p)) & (hits >= F.col("_least")) & ~F.exists("_none", lambda p: F.regexp_like(t, p))
-    return pages.join(F.broadcast(r), ok).select("doc_id", "page", "rule", "severity")
+    return pages.join(small(r), ok).select("doc_id", "page", "rule", "severity")
 
 
 def allowed_by_profile(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Lines that a rule (profile, page, pattern) of their document's profile lets pass; a null page means any."""
     r = rules.select(F.col("profile").alias("_f"), F.col("page").alias("_p"), F.col("pattern").alias("_x"))
-    return lines.join(F.broadcast(r), (F.col("profile") == F.col("_f")) & (F.col("_p").isNull() | (F.col("page") == F.col("_p"))) & F.regexp_like(T.text("text"), F.col("_x")), "left_semi")
+    return lines.join(small(r), (F.col("profile") == F.col("_f")) & (F.col("_p").isNull() | (F.col("page") == F.col("_p"))) & F.regexp_like(T.text("text"), F.col("_x")), "left_semi")
 
 
 def flag_issues(rows: DataFrame, flags: dict[str, tuple[Column, str, str]]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import small
 
 # Risks and the words of a request that raise them.
 RISK_WORDS = (
@@ -33,7 +34,7 @@ def route_scores(requests: DataFrame, packs: DataFrame) -> DataFrame:
     anchors = requests.sparkSession.createDataFrame([(d, w) for d, ws in ANCHORS for w in ws], "domain_id string, word string").withColumn("points", F.lit(8))
     words = packs.select("domain_id", F.explode("keywords").alias("word")).withColumn("points", F.lit(2)).unionByName(anchors.join(packs.select("domain_id"), "domain_id", "left_semi"))
     low = F.when(F.col("points") == 2, F.lower(T.text("text")).contains(F.lower("word"))).otherwise(T.text("text").contains(F.col("word")))
-    met = requests.select("request_id", "text").join(F.broadcast(words), low)
+    met = requests.select("request_id", "text").join(small(words), low)
     out = met.groupBy("request_id", "domain_id").agg(F.sum("points").alias("score"))
     return out.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("score"), "domain_id")))
 
@@ -41,7 +42,7 @@ def route_scores(requests: DataFrame, packs: DataFrame) -> DataFrame:
 def risks(requests: DataFrame, packs: DataFrame) -> DataFrame:
     """``request_id, risks``: raised by words of the text, or by the selected domains."""
     table = requests.sparkSession.createDataFrame([(r, w) for r, ws in RISK_WORDS for w in ws], "risk string, word string")
-    by_word = requests.join(F.broadcast(table), F.lower(T.text("text")).contains(F.lower("word"))).select("request_id", "risk")
+    by_word = requests.join(small(table), F.lower(T.text("text")).contains(F.lower("word"))).select("request_id", "risk")
     domains = requests.select("request_id", F.explode(F.concat(F.array("primary_domain"), F.coalesce("auxiliary_domains", F.array().cast("array<string>")))).alias("domain_id"))
     by_pack = domains.join(packs.select("domain_id", F.explode("risk_triggers").alias("risk")), "domain_id").select("request_id", "risk")
     return by_word.unionByName(by_pack).groupBy("request_id").agg(F.array_sort(F.collect_set("risk")).alias("risks"))
@@ -96,7 +97,7 @@ def match_template(products: DataFrame, templates: DataFrame) -> DataFrame:
         & ((F.size(F.coalesce("markers", none)) == 0) | F.exists(F.coalesce("markers", none), lambda m: T.text("request").contains(m)))
         & ~F.exists(F.coalesce("excluded", none), lambda m: T.text("request").contains(m))
     )
-    return products.join(F.broadcast(t), fits).groupBy("product_id").agg(F.min_by("template_id", "_pos").alias("template_id"))
+    return products.join(small(t), fits).groupBy("product_id").agg(F.min_by("template_id", "_pos").alias("template_id"))
 
 
 def product_errors(products: DataFrame, allowed_modules: DataFrame, sources: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def catalog_errors(items: DataFrame, per_domain: int = 12, per_module: tuple[int
 
 def critical_decisions(requests: DataFrame, risk_rows: DataFrame, rules: DataFrame, most: int = 3) -> DataFrame:
     """The first three rules (pos, risk, decision_id, question) that a request's risks raise."""
-    raised = risk_rows.select("request_id", F.explode("risks").alias("risk")).join(F.broadcast(rules), "risk")
+    raised = risk_rows.select("request_id", F.explode("risks").alias("risk")).join(small(rules), "risk")
     once = raised.groupBy("request_id", "decision_id").agg(F.min("pos").alias("pos"), F.min_by("question", "pos").alias("question"))
     return once.withColumn("_n", F.row_number().over(W.partitionBy("request_id").orderBy("pos", "decision_id"))).where(F.col("_n") <= most).drop("_n")
 

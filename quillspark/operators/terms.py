@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import small
 
 # How candidates look, and how many of each kind are kept.
 CANDIDATES = (
@@ -67,7 +68,7 @@ def term_hits(blocks: DataFrame, terms: DataFrame, term_col: str = "term") -> Da
     rest = terms.where(~F.col(term_col).rlike("^[A-Za-z0-9]+$") & (F.col(term_col) != "")).select(F.col(term_col).alias("term"))
     words = blocks.select("doc_id", "block_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all(T.text("text"), F.lit("([A-Za-z0-9]+)"), 1))).alias("word"))
     by_word = words.join(plain, F.col("word") == F.col("term")).select("doc_id", "block_id", "pos", "term")
-    by_scan = blocks.join(rest, T.contains_term(F.col("text"), F.col("term"))).select("doc_id", "block_id", "pos", "term")
+    by_scan = blocks.join(small(rest), T.contains_term(F.col("text"), F.col("term"))).select("doc_id", "block_id", "pos", "term")
     return by_word.unionByName(by_scan)
 
 
@@ -85,7 +86,7 @@ def check_policies(pairs: DataFrame, policies: DataFrame) -> DataFrame:
     A forbidden wording is high and hides the rest; a missing expected wording is medium; a term without one is low,
     but terms to keep are content with the source wording.
     """
-    met = pairs.join(F.broadcast(policies), T.contains_term(F.col("source"), F.col("term")))
+    met = pairs.join(small(policies), T.contains_term(F.col("source"), F.col("term")))
     forbidden = F.exists(F.coalesce("forbidden", F.array().cast("array<string>")), lambda w: (w != "") & T.text("translation").contains(w))
     found = F.exists(alternatives(T.text("expected")), lambda w: T.text("translation").contains(w))
     kept = T.text("action").startswith("keep") & T.contains_term(F.col("translation"), F.col("term"))

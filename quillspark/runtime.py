@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -16,3 +17,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
     return spark
+
+
+def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df``, to be broadcast if it is counted to hold at most ``rows`` rows; else Spark picks another join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

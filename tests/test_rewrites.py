@@ -65,3 +65,10 @@ def test_nfkc(spark):
     prepare(spark)
     df = spark.createDataFrame([("ＬＬＭ ﬁne", "LLM"), (None, "x")], "a string, b string")
     assert rows(df.select(U.nfkc(F.col("a")).alias("n"), U.contains_term(F.col("a"), F.col("b")).alias("c")), "n", "c") == [("LLM fine", True), ("", False)]
+
+
+def test_policy_context(spark):
+    b = spark.createDataFrame([("b1", "an LLM and a neural net"), ("b2", "nothing")], "block_id string, text string")
+    t = spark.createDataFrame([(i, x, f"x{i}", None) for i, x in enumerate(["alpha", "beta", "LLM", "neural net"])], "pos int, term string, expected string, note string")
+    got = dict(rows(R.policy_context(b, t, most=3), "block_id", "context"))
+    assert got == {"b1": "- LLM => x2\n- neural net => x3\n- alpha => x0", "b2": "- alpha => x0\n- beta => x1\n- LLM => x2"}
