@@ -173,12 +173,14 @@ def _open_pairs(spark: SparkSession, open_lists: DataFrame, sets: DataFrame, tri
     to_head = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "same")
     near = able.join(to_head, (F.greatest("node", "h") == F.col("_a")) & (F.least("node", "h") == F.col("_b")), "left")
     near = near.select("value", "node", "n", "label", "u", F.when(F.col("node") == F.col("h"), 0).otherwise(F.col("n") + F.col("hn") - 2 * F.col("same")).alias("d"))
-    near = materialize(spark, near, "open")
-    other = near.select(F.col("value").alias("_v"), F.col("node").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"), F.col("u").alias("ou"), F.col("d").alias("od"))
+    own = near.groupBy("node").agg(F.array_sort(F.collect_set("value")).alias("values")).select(F.col("node").alias("_n"), "values")
+    near = materialize(spark, near.join(own, F.col("node") == F.col("_n")).drop("_n"), "open")
+    other = near.select(F.col("value").alias("_v"), F.col("node").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"), F.col("u").alias("ou"), F.col("d").alias("od"), F.col("values").alias("ov"))
     both = F.least(F.col("n") - F.col("u"), F.col("on") - F.col("ou")) * (den - num) >= (F.col("u") + F.col("ou")) * num
     apart = F.col("d") + F.col("od") - 2 * F.least(F.col("d") - F.col("u"), F.col("od") - F.col("ou"))
     close = F.coalesce(apart * (den + num) <= (F.col("n") + F.col("on")) * (den - num), F.lit(True))
-    met = near.join(other, (F.col("value") == F.col("_v")) & (F.col("label") < F.col("ol")) & _size_fits("n", "on", num, den) & both & close)
+    once = F.array_min(F.array_intersect("values", "ov")) == F.col("value")  # at the first list that both share
+    met = near.join(other, (F.col("value") == F.col("_v")) & (F.col("label") < F.col("ol")) & _size_fits("n", "on", num, den) & both & close & once)
     return met.select(F.greatest("node", "o").alias("a"), F.least("node", "o").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
