@@ -15,6 +15,7 @@ ids, each read up to ``TRAIN_CHARS`` characters. Scoring reads every whole text.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ensure_importable
+from .common import bounded_sample, ensure_importable
 
 MAX_N = 4
 LANDMARKS, TRAIN, TRAIN_CHARS = 64, 400, 4000
@@ -157,9 +158,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     picked: list[tuple[str, str]] = []
     starts: list[str] = []
     for lang in sorted(languages):
-        order = (F.xxhash64(F.col("id").cast("string")), F.xxhash64("text"))
-        ids = known.where(F.col("lang") == lang).select("id", "text").orderBy(*order).limit(landmarks + per_language).select(F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
-        rows = [r["text"] for r in ids]
+        own = known.where(F.col("lang") == lang).select(F.col("id").cast("string").alias("id"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
+        rows = [r["text"] for r in sorted(bounded_sample(own, "id", landmarks + per_language).collect(), key=lambda r: (zlib.crc32((r["id"] or "").encode() + b"."), r["text"]))]
         starts += rows[:landmarks]
         picked += [(t, lang) for t in (rows[landmarks:] or rows)]
     if not picked:

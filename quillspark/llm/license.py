@@ -3,8 +3,8 @@
 Paragraphs are lines. Features are hashed words and word pairs, as in the quality classifier, but as
 written, since versions and abbreviations tell families apart. A softmax regression over
 the families and ``unknown`` is trained on variants of the templates (cut, with words dropped or replaced) against
-paragraphs of the corpus, at most ``NEGATIVES`` of them, those with the smallest hashes, that share no telling word with
-any template. A temperature fitted on a held-out part of these calibrates the probabilities. A paragraph whose best
+paragraphs of the corpus, at most ``NEGATIVES`` of them, from as many documents, those with the smallest hashes, that
+share no telling word with any template. A temperature fitted on a held-out part of these calibrates the probabilities. A paragraph whose best
 class is a family, by at least ``MIN_CHANCE``, is compared with that family's templates: it must hold ``CONFIRM`` of the
 word pairs of one. Every paragraph of every whole text is scored.
 """
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Powers, ensure_importable
+from .common import Powers, bounded_sample, ensure_importable
 from .quality import features
 
 BITS = 16
@@ -151,8 +151,9 @@ def fit(examples: list[tuple[str, str]], steps: int = 250, rate: float = 4.0, de
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, negatives: int = NEGATIVES) -> tuple[list[str], np.ndarray, np.ndarray, float]:
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("line")).where("length(line) between 20 and 2000").where(~F.col("line").rlike(_CUES))
-    drawn = [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(negatives).collect()]
+    some = bounded_sample(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "id", negatives)
+    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 20 and 2000").where(~F.col("line").rlike(_CUES))
+    drawn = [r["line"] for r in bounded_sample(lines.distinct(), "line", negatives).collect()]
     plain = ["the quick report was read by the team", "see the table of results for details", "version 3 of the work was under review", "a copy of this file"]
     return fit(variants(np.random.default_rng(3)) + [(t, UNKNOWN) for t in drawn + plain])
 

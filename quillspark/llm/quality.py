@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _MULT, _STEP, BYTES_FOLDED, Powers, ensure_importable, mix64, span_hashes, text_chunks
+from .common import _MULT, _STEP, BYTES_FOLDED, Powers, bounded_sample, ensure_importable, mix64, span_hashes, text_chunks
 from .langid import held_out
 
 BITS = 18
@@ -93,7 +93,7 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bi
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for r in order.permutation(len(rows)):
-            i, x = np.append(rows[r][0], size - 1), np.append(rows[r][1], 1.0)
+            i, x = np.append(rows[r][0].astype(np.int64), size - 1), np.append(rows[r][1].astype(float), 1.0)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
             g = (p - labels[r]) * weigh[int(labels[r])] * x
@@ -106,7 +106,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     """Weights from labelled rows that aren't held out; None unless both labels occur."""
     ensure_importable(spark)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(~held_out("id") & F.col("y").isin(0, 1))
-    chosen = marked.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    chosen = bounded_sample(marked.groupBy("id").agg(F.max("y").alias("y")), "id", rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -126,7 +126,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     y = np.array([r["y"] for r in got])
     if len(set(y.tolist())) < 2:
         return None
-    return train_ftrl([(np.frombuffer(r["places"], "<i4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float)) for r in got], y, bits)
+    return train_ftrl([(np.frombuffer(r["places"], "<i4"), np.frombuffer(r["values"], "<f4")) for r in got], y, bits)
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, bits: int = BITS, **options) -> DataFrame:
