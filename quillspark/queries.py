@@ -233,10 +233,10 @@ def best_match_argmax(spark, sf_dir):
 
 @query()
 def fuzzy_match_difflib(spark, sf_dir):
-    rows = blocks.lines(table(spark, sf_dir, "documents")).select(F.substring(T.collapse(F.col("line")), 1, 300).alias("text")).where("length(text) >= 16").distinct()
-    rows = rows.select(F.xxhash64("text").alias("line_id"), "text", F.substring("text", 1, 8).alias("head"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring(T.collapse(F.col("text")), 1, 300).alias("text")).withColumn("head", F.substring("text", 1, 8))
-    return align.best_fuzzy(rows, items, "line_id", "item_id", ["head"])
+    rows = blocks.lines(table(spark, sf_dir, "documents")).select(T.collapse(F.col("line")).alias("text")).where("text <> ''").distinct()
+    rows = rows.select(F.xxhash64("text").alias("line_id"), "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.collapse(F.col("text")).alias("text"))
+    return align.best_fuzzy(rows, items, "line_id", "item_id", [])
 
 
 @query("""SELECT lang, count(*) AS n, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low,

@@ -1,9 +1,11 @@
 import difflib
+import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import queries
 from quillspark.operators import align, blocks, events, quality, research, routing, spans, spatial, terms
 
 PAPER = "Title line\nmore title\n\n# Abstract\nWe use x_y at https://a.b/c. and `code`.\n<!-- page:2 -->\nHeader of the journal page\n```py\na = 1\n\nb\n```\nIntroduction\nbody $x$ [12] \\cite{k} 10.1234/ab.c\n<!-- page:3 -->\nHeader of the journal page\nlast"
@@ -104,6 +106,39 @@ def test_greedy_matching(spark):
     assert rows(align.match_blocks(s, t), "layout_id") == [("l1",)] or rows(align.match_blocks(s, t), "method")[0][0] in ("page_text_similarity", "unmatched")
 
 
+def test_best_fuzzy_equals_brute_force(spark, tmp_path, monkeypatch):
+    """The query on whole lines and items: long ones, short ones, items after other words, edits at the start, ties."""
+    monkeypatch.setattr(align, "NEEDLE_ROWS", 40)
+    monkeypatch.setattr(align, "HAYSTACK_ROWS", 9)
+    rng = random.Random(4)
+    syllables = ["th", "er", "in", "on", "an", "re", "tion", "zu", "qua", "漢", "é", "k9", "x", "W"]
+
+    def text(n):
+        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+    items = [(i, text(rng.choice([3, 12, 25, 45, 90, 160]))) for i in range(14)] + [(25, ""), (26, "...")]
+    items += [(27, items[3][1]), (28, items[4][1].upper())]
+    lines = [text(rng.randint(1, 60)) for _ in range(30)] + ["a", "th", "--", "{v1} th er"]
+    for _, t in items[:14]:
+        w = t.split()
+        lines += [t, text(8) + " " + t, text(150) + " " + t, "X" + t[1:], t[: len(t) // 2], t[len(t) // 3 :], " ".join(x for x in w if rng.random() < 0.7), "".join(c for c in t if rng.random() < 0.75), "".join(c if rng.random() < 0.8 else "j" for c in t)]
+    spark.createDataFrame([(i, "\n".join(lines[i::5])) for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.fuzzy_match_difflib(spark, str(tmp_path)).collect()
+    ids = {r["line_id"]: r["text"] for r in spark.createDataFrame([(" ".join(x.split()),) for x in lines], "text string").select("text", F.xxhash64("text").alias("line_id")).collect()}
+    want = {}
+    for line in ids.values():
+        best, at = 0.0, None
+        for i, t in items:
+            score = align.match_score(line, t)
+            if score > best:
+                best, at = score, i
+        if round(best, 4) >= 0.52:
+            want[line] = (at, round(best, 4))
+    assert {ids[r["line_id"]]: (r["item_id"], r["score"]) for r in got} == want
+    assert len(want) == len(got) > 80 and sum(len(x) > 300 for x in want) > 5
+
+
 def test_containment_with_short_needles(spark):
     texts = spark.createDataFrame([(1, "xx the quick brown fox jumps over it all yy"), (2, "the quick brown"), (3, "aquick b")], "doc_id long, text string")
     needles = spark.createDataFrame([(1, "he quick brown fox jumps over it al"), (2, "quick b"), (3, ""), (4, "nothing of this is in any of them")], "item_id long, needle string")
