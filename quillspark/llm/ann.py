@@ -177,7 +177,9 @@ def search(
                 at = np.sort(np.concatenate(own))
                 at = at[ids[at] != query]
                 score = np.einsum("ij,j->i", v[at], q[i])  # row by row, so equal vectors score alike
-                best = np.lexsort((ids[at], -score))[: 2 * nearest]
+                best = np.lexsort((ids[at], -score))
+                _, lead = np.unique(ids[at][best], return_index=True)  # where each id comes first, by its best score
+                best = best[np.sort(lead)[:nearest]]
                 found += [(query, int(ids[at[j]]), float(score[j])) for j in best]
         columns = list(zip(*found)) or [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})

@@ -218,3 +218,18 @@ def test_templates_reject_by_purity(spark):
 def test_many_children_become_one(spark, depth):
     counts = spark.createDataFrame([("h", ["a"] * (depth - 1) + [f"k{i}x"], 1, 0) for i in range(200)], "host string, raw array<string>, good long, bad long")
     assert {r["template"][-1] for r in urltree._generalised(counts).collect()} == {"*"}
+
+
+def test_search_with_repeated_ids(spark):
+    """Ids that occur three or forty times take one place each."""
+    rng = np.random.default_rng(11)
+    once = [(i, rng.normal(size=8).tolist()) for i in range(120)]
+    rows = once * 3 + [(7, (np.array(once[50][1]) + 0.01 * rng.normal(size=8)).tolist()) for _ in range(40)]
+    got = {}
+    for r in ann.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), visit=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    unit = {}
+    for i, v in rows:
+        unit.setdefault(i, []).append(np.array(v) / np.linalg.norm(v))
+    want = {q: sorted((i for i in unit if i != q), key=lambda i: -max(float(a @ b) for a in unit[i] for b in unit[q]))[:5] for q in (0, 50, 100)}
+    assert got == want
