@@ -77,8 +77,18 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 
 def _least_overlap(size: Column, n: Column, k: int, num: int, den: int, slack: float) -> Column:
-    """How many values of its sketch a node shares at least with any node it may link to."""
-    return F.when(n <= k, F.ceil(size * num / den)).otherwise(F.ceil(size * (num / den - slack)))
+    """How many values of its sketch a node shares at least with any node it may link to.
+
+    A whole set of n values shares ceil(n num / den) with a partner; a partner of up to n den / num values that exceed
+    its sketch may drop as many of them as it has over k. A set of n and one of m share at least (n + m) num /
+    (num + den) values, so the sketches share that less m - k; the largest m is the worst, as num < den. Below the
+    estimate's bound nothing is gained.
+    """
+    exact = F.ceil(n * num / den)
+    m = F.floor(n * den / num)
+    dropped = F.ceil((n + m) * num / (num + den)) - (m - k)
+    estimate = F.ceil(size * (num / den - slack))
+    return F.when(m <= k, exact).when(n <= k, F.least(exact, F.greatest(dropped, F.lit(0)))).otherwise(estimate)
 
 
 def _listed(classes: DataFrame, k: int, num: int, den: int, slack: float) -> DataFrame:
