@@ -3,7 +3,8 @@
 Terms are runs of letters and digits, folded in A-Z. Their document frequencies are counted over all documents; the
 lexicon holds those within a band of inverse document frequency. A term of the lexicon occurs in at least ``RARE`` of
 all documents, so the lexicon has at most (mean distinct terms of a document) / ``RARE`` terms, whatever the corpus;
-that bound is what lets it be broadcast. A fingerprint is the hash of all of a text's lexicon terms, sorted and
+that bound is what lets it be broadcast. Terms above the band are within the same bound; they serve texts that the
+band leaves with next to nothing. A fingerprint is the hash of all of a text's lexicon terms, sorted and
 distinct, followed by hashes under ``SUBSETS`` random subsets of the lexicon. Subsets come in several densities, so
 that texts of any length meet some of which they hold a few terms. Likeness is the share of equal hashes among the
 subsets of which either text holds a term.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import _MULT, BYTES_FOLDED, Powers, ensure_importable, mix64, span_hashes, text_chunks
 
 RARE, FREQUENT = 0.001, 0.1
+SCARCE, FEW = 8, 16
 #: One subset for each entry: it keeps one in so many terms of the lexicon.
 SUBSETS = (4, 8, 16, 16, 32, 32, 64, 64, 64, 64, 128, 128, 128, 128, 256, 256, 256, 256, 256, 512, 512, 512, 512, 512)
 BUCKET_ROWS, MAX_BUCKETS = 2000, 4096
@@ -53,8 +55,9 @@ def terms(texts: pa.Array, powers: Powers) -> Iterator[tuple[int, int, np.ndarra
         yield lo, hi, row[new], h[new]
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, frequent: float = FREQUENT) -> np.ndarray:
-    """Sorted hashes of the terms whose share of documents lies in the band (at least two documents)."""
+def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, frequent: float = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the terms in at least ``rare`` of documents (at least two), how rare each is (0 the rarest), and
+    whether its share lies in the band, that is, up to ``frequent``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -80,21 +83,45 @@ def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, frequen
     low = max(2, math.ceil(rare * total))
     high = max(low, math.floor(frequent * total))
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    got = counted.where(F.col("n").between(low, high)).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(got.view(np.uint64))
+    got = counted.where(F.col("n") >= low).select("h", "n").toPandas()
+    h, n = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    place = np.empty(h.size, np.int64)
+    place[np.lexsort((h, n))] = np.arange(h.size)
+    return h, place, n <= high
 
 
 class Fingerprints:
-    """Fingerprints of texts under one lexicon; ``marks`` has a row of subset hashes for each text, 0 where it is empty."""
+    """Fingerprints of texts under one lexicon; ``marks`` has a row of subset hashes for each text, 0 where it is empty.
+
+    A text of which less than one in ``SCARCE`` known terms lies in the band, such as a copy from a group of over
+    ``FREQUENT`` of all rows, is taken by the rarer half of its known terms (all of them up to ``FEW``).
+    """
 
     BITS = 1 << 22
 
-    def __init__(self, words: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, place: np.ndarray | None = None, band: np.ndarray | None = None) -> None:
         self.words = words
+        self.place = np.arange(words.size) if place is None else place
+        self.band = np.ones(words.size, bool) if band is None else band
         self.maybe = np.zeros(self.BITS, bool)
         self.maybe[(words & np.uint64(self.BITS - 1)).astype(np.int64)] = True
         self.powers = Powers()
 
+    def _kept(self, row: np.ndarray, spot: np.ndarray, rows: int) -> np.ndarray:
+        """Which known terms, sorted by row, a text is taken by."""
+        keep = self.band[spot]
+        known, within = np.bincount(row, minlength=rows), np.bincount(row[keep], minlength=rows)
+        scarce = SCARCE * within < known
+        at = np.flatnonzero(scarce[row])
+        if at.size:
+            at = at[np.lexsort((self.place[spot[at]], row[at]))]
+            own = row[at]
+            turn = np.arange(at.size) - np.searchsorted(own, own)
+            keep[at] = turn < np.maximum((known + 1) // 2, np.minimum(known, FEW))[own]
+        return keep
+
     def of(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         names: list[str] = []
         marks = np.zeros((len(texts), len(SUBSETS)), np.uint64)
@@ -104,7 +131,9 @@ class Fingerprints:
             if self.words.size:
                 spot = np.minimum(np.searchsorted(self.words, h), self.words.size - 1)
                 known = self.words[spot] == h
-                row, h = row[known], h[known]
+                row, h, spot = row[known], h[known], spot[known]
+                keep = self._kept(row, spot, hi - lo)
+                row, h = row[keep], h[keep]
             else:
                 row, h = row[:0], h[:0]
             cut = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -154,7 +183,7 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, id_col: str = "d
 
     The edited text has its last ``n_chars // 2`` code points replaced by as many first ones (or all) of the next
     document in ascending id; after the last comes the first. Null and empty texts are empty, rows with a null id come
-    first, and rows that share an id follow each other by text. A single row is its own next. A text without lexicon
+    first, and rows that share an id follow each other by text. A single row is its own next. A text without known
     terms has the hash of itself as fingerprint. Other columns are ignored, whatever their names.
 
     Documents reach their neighbour by one exchange: ids are cut into ranges at quantiles, every range is sorted, and
@@ -176,7 +205,7 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, id_col: str = "d
     sorted_rows = both.repartition(max(1, len(bounds) + 1), "bucket").sortWithinPartitions("bucket", "closing", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Fingerprints(shared.value)
+        prints = Fingerprints(*shared.value)
         kept: tuple | None = None  # the last row, which waits for its next: id, text, bucket, fingerprint, marks
         for big in batches:
             for at in range(0, big.num_rows, 512):

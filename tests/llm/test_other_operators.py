@@ -233,3 +233,22 @@ def test_search_with_repeated_ids(spark):
         unit.setdefault(i, []).append(np.array(v) / np.linalg.norm(v))
     want = {q: sorted((i for i in unit if i != q), key=lambda i: -max(float(a @ b) for a in unit[i] for b in unit[q]))[:5] for q in (0, 50, 100)}
     assert got == want
+
+
+def test_near_copies_in_a_group_of_a_third(spark):
+    """Copies with three words replaced stay alike although the terms they share are in over a tenth of rows."""
+    rng = random.Random(21)
+    vocabulary = words(rng, 2500).split()
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base) if i % 3 == 0 else [rng.choice(vocabulary) for _ in range(150)]
+        for _ in range(3 if i % 3 == 0 else 0):
+            w[rng.randrange(150)] = rng.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    lex = imatch.lexicon(spark.createDataFrame(rows, "doc_id long, text string"))
+    names, marks = imatch.Fingerprints(*lex if isinstance(lex, tuple) else (lex,)).of(imatch.pa.array([t for _, t in rows]))
+    alike = [imatch.likeness(names[i], marks[i], names[i + 3], marks[i + 3]) for i in range(0, 297, 3)]
+    apart = [imatch.likeness(names[i], marks[i], names[i + 1], marks[i + 1]) for i in range(0, 297, 3)]
+    print("likeness", np.mean(alike), np.mean(apart))
+    assert np.mean(alike) > 0.5 and np.mean(apart) < 0.1
