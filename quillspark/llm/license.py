@@ -7,6 +7,10 @@ paragraphs of the corpus, at most ``NEGATIVES`` of them, from as many documents,
 share no telling word with any template. A temperature fitted on a held-out part of these calibrates the probabilities. A paragraph whose best
 class is a family, by at least ``MIN_CHANCE``, is compared with that family's templates: it must hold ``CONFIRM`` of the
 word pairs of one. Every paragraph of every whole text is scored.
+
+A notice inside a longer paragraph would be diluted there. So spans of every paragraph are scored as well: wherever
+the words of one and a half times a template's length hold over half of its word pairs, the span of those pairs. Longer
+matches come first, and spans that overlap a found one are left out.
 """
 
 from __future__ import annotations
@@ -82,6 +86,40 @@ def similarity(text: str, family: str) -> float:
     return best
 
 
+_ENDS = [(pairs, int(1.5 * len(tokens(t))) + 4) for family, texts in TEMPLATES.items() for t, pairs in zip(texts, _TEMPLATE_PAIRS[family])]
+_OWNERS: dict[tuple[str, str], list[int]] = {}
+for _i, (_p, _) in enumerate(_ENDS):
+    for _x in _p:
+        _OWNERS.setdefault(_x, []).append(_i)
+
+
+def spans(text: str) -> list[tuple[int, int, str]]:
+    """First word, end word and text of the spans that hold over half of a template's word pairs, best matches first."""
+    low = text.lower()
+    words = tokens(low)
+    places: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+    for i, pair in enumerate(zip(words, words[1:])):
+        for k in _OWNERS.get(pair, ()):
+            places.setdefault(k, []).append((i, pair))
+    found: dict[tuple[int, int], int] = {}
+    for k, own in places.items():
+        pairs, reach = _ENDS[k]
+        j = 0
+        while j < len(own):
+            near = [x for x in own[j : j + reach] if x[0] < own[j][0] + reach]
+            same = len({p for _, p in near})
+            if 2 * same > len(pairs):
+                key = (near[0][0], near[-1][0] + 2)
+                found[key] = max(found.get(key, 0), same)
+            j += 1
+    if not found:
+        return []
+    source = text if len(low) == len(text) else low
+    at = [m.span() for m in re.finditer(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", low)]
+    ranked = sorted(found, key=lambda x: (-found[x], x[1] - x[0], x))
+    return [(a, z, source[at[a][0] : at[z - 1][1]]) for a, z in ranked]
+
+
 def variants(rng: np.random.Generator, n: int = VARIANTS) -> list[tuple[str, str]]:
     out = []
     filler = ["project", "file", "code", "see", "for", "details", "terms", "here", "copyright", "2020", "inc", "authors"]
@@ -159,7 +197,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, negatives: int = NEGATIVE
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chance: float = MIN_CHANCE, confirm: float = CONFIRM) -> DataFrame:
-    """``doc_id, paragraph, family, score, similarity``, one row for each paragraph with a confirmed licence notice.
+    """``doc_id, paragraph, family, score, similarity``, one row for each paragraph and family with a confirmed licence
+    notice in it.
 
     paragraph counts lines from 0, blank ones too. Null and empty texts have none. Repeated rows give repeated
     findings. Other columns are ignored, whatever their names.
@@ -174,6 +213,21 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         spot[live] = np.arange(live.size)
         table = weights[live]
         powers = Powers()
+
+        def judged(lines: pa.Array) -> Iterator[tuple[int, str, float, float]]:
+            for lo, hi, owner, place, value in features(lines, powers, BITS, False):
+                known = spot[place] >= 0
+                owner, place, value = owner[known], spot[place[known]], value[known]
+                z = np.stack([np.bincount(owner, weights=value * table[place, c], minlength=hi - lo) + bias[c] for c in range(len(classes))], axis=1) / heat
+                z -= z.max(axis=1, keepdims=True)
+                p = np.exp(z)
+                p /= p.sum(axis=1, keepdims=True)
+                top = p.argmax(axis=1)
+                for i in np.flatnonzero((top < len(classes) - 1) & (p.max(axis=1) >= min_chance)).tolist():
+                    like = similarity(lines[lo + i].as_py(), family := classes[top[i]])
+                    if like >= confirm:
+                        yield lo + i, family, float(p[i, top[i]]), like
+
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 b = big.slice(at, 1024)
@@ -181,21 +235,24 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
                 lines = split.flatten()
                 doc = pc.list_parent_indices(split).to_numpy()
                 first = np.r_[0, np.cumsum(np.bincount(doc, minlength=b.num_rows))]
-                out: list[tuple] = []
-                for lo, hi, owner, place, value in features(lines, powers, BITS, False):
-                    known = spot[place] >= 0
-                    owner, place, value = owner[known], spot[place[known]], value[known]
-                    z = np.stack([np.bincount(owner, weights=value * table[place, c], minlength=hi - lo) + bias[c] for c in range(len(classes))], axis=1) / heat
-                    z -= z.max(axis=1, keepdims=True)
-                    p = np.exp(z)
-                    p /= p.sum(axis=1, keepdims=True)
-                    top = p.argmax(axis=1)
-                    for i in np.flatnonzero((top < len(classes) - 1) & (p.max(axis=1) >= min_chance)).tolist():
-                        text, family = lines[lo + i].as_py(), classes[top[i]]
-                        like = similarity(text, family)
-                        if like >= confirm:
-                            d = int(doc[lo + i])
-                            out.append((b.column(0)[d].as_py(), lo + i - int(first[d]), family, float(p[i, top[i]]), like))
+                whole = {i: (family, chance, like) for i, family, chance, like in judged(lines)}
+                out = [(i, *found) for i, found in whole.items()]
+                owner, parts = [], []
+                for i, line in enumerate(lines.to_pylist()):
+                    for part in spans(line):
+                        owner.append(i)
+                        parts.append(part)
+                taken: dict[int, list[tuple[int, int]]] = {}
+                families = {i: {found[0]} for i, found in whole.items()}
+                for j, family, chance, like in sorted(judged(pa.array([t for _, _, t in parts], pa.string()))):
+                    i, (first_word, end_word, _) = owner[j], parts[j]
+                    if like > 0.5 and all(end_word <= x or first_word >= y for x, y in taken.get(i, ())):
+                        taken.setdefault(i, []).append((first_word, end_word))
+                        if i not in whole or len(taken[i]) > 1:
+                            if family not in families.setdefault(i, set()):
+                                families[i].add(family)
+                                out.append((i, family, chance, like))
+                out = [(b.column(0)[int(doc[i])].as_py(), i - int(first[doc[i]]), family, chance, like) for i, family, chance, like in out]
                 columns = list(zip(*out)) or [(), (), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()))], names=["doc_id", "paragraph", "family", "score", "similarity"])
 

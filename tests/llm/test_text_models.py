@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from made import words
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, license, quality
@@ -139,3 +140,23 @@ def test_licences(spark, rows):
     df = spark.createDataFrame(plain + made + [(2000, None), (2001, ""), (2002, "The terms of this version are read by the team under the bridge.")], "doc_id long, text string").withColumn("family", F.lit("x"))
     got = {(r["doc_id"], r["paragraph"], r["family"]) for r in license.scan_licenses(spark, df).collect()}
     assert got == {(1000 + i, made[i][1].count("\n") - 1, f) for i, f in enumerate(notices)}
+
+
+def test_licences_inside_long_paragraphs(spark):
+    """One template of each family amid 0 to 400 words of one line, and two notices in one line."""
+    rng = random.Random(6)
+    prose = lambda n: words(rng, n, "aeinorst")
+    plain = [(i, "\n".join(prose(rng.randint(10, 60)) for _ in range(3))) for i in range(60)]
+    texts, want = [], set()
+    for family, templates in license.TEMPLATES.items():
+        for t in templates:
+            for around in (0, 10, 40, 200):
+                d = 1000 + len(texts)
+                texts.append((d, f"{prose(around)} {t} {prose(around)}".strip()))
+                want.add((d, family))
+    texts.append((5000, f"{prose(90)} Released under the MIT License. {prose(90)} This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. {prose(90)}"))
+    want |= {(5000, "mit"), (5000, "cc-by-nc")}
+    got = {(r["doc_id"], r["family"]) for r in license.scan_licenses(spark, spark.createDataFrame(plain + texts, "doc_id long, text string")).collect()}
+    assert len(want & got) >= 0.97 * len(want), sorted(want - got)
+    assert len(got - want) <= 0.03 * len(want), sorted(got - want)
+    assert {d for d, _ in got} & set(range(60)) == set()
