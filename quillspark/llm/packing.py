@@ -6,8 +6,10 @@ all planning is done on it:
 
 1. combinations of two or three lengths that fill a window exactly are enumerated;
 2. non-negative least squares finds how often each should be used to use up the histogram;
-3. the counts are rounded down to what is there, which leaves some tails of each length;
-4. these are laid end to end and cut at window borders, the last window into powers of two, so nothing is padded.
+3. the counts are rounded, to no more than is there; then combinations are taken greedily, those of the largest
+   solutions first, as long as all their lengths are left;
+4. the residual tails, which fill no window together by twos or threes, are packed greedily too: each goes on where the
+   last one ended and is cut at the window's border, the last window into powers of two, so nothing is padded.
 
 A tail's place follows from its length and its rank among tails of that length by arithmetic on the plan, so placing
 them needs no sort and no group in one task: ranks come from counts by length and salt. The driver holds the histogram
@@ -16,6 +18,8 @@ and the plan, both bounded by the window.
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,13 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, materialize, mix64
+from .common import ensure_importable, materialize
 
 WINDOW = 1024
 END_ID = 0
-SALTS = 256
-#: Combinations of three lengths tried beside all of two.
-MAX_TRIPLES = 6000
+#: Groups that the tails of one length are ranked in, so that a common length makes no large group.
+SALTS = 1024
 #: Windows that a document fills alone are numbered from here, by document and place.
 ALONE_FROM = 1 << 40
 PER_DOCUMENT = 1 << 22
@@ -40,162 +43,72 @@ PER_DOCUMENT = 1 << 22
 
 # --- token ids ----------------------------------------------------------------------------------
 
-_PLAIN = 0x250  # the quick way is for texts of these code points only; others go to the tokenizer whole
-_STEP = np.uint64(0xD1342543DE82EF95)
-_STEP_INV = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+# Fixed value: how a byte-level tokenizer of this form splits a text before it merges bytes.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-def _classes() -> np.ndarray:
-    import unicodedata
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: itself if printable, else the next from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-    white = {9, 10, 11, 12, 13, 32, 0x85, 0xA0}
-    kinds = []
-    for c in range(_PLAIN):
-        cat = unicodedata.category(chr(c))[0]
-        kinds.append(0 if c in white else 1 if cat == "L" else 2 if cat == "N" else 3)
-    return np.array(kinds, np.uint8)
+
+def _ranked(file: dict):
+    """A merger by rank that gives the ids of a ``tokenizers`` file; None unless the file is of the form it needs.
+
+    It is needed that the text is taken as it is, split in the byte-level way, and that the ids of merged pieces rise
+    in the order of their merges, each piece having one.
+    """
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    plain = not file.get("normalizer") and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    byte, special = _byte_of(), {t["content"] for t in file.get("added_tokens", [])}
+    vocabulary = {x: i for x, i in model["vocab"].items() if x not in special}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [vocabulary.get(a + b, -1) for a, b in merges]
+    if any(c not in byte for x in vocabulary for c in x) or len(vocabulary) != 256 + len(made) or min(made, default=0) < 0 or any(a >= b for a, b in zip(made, made[1:])):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks={bytes(byte[c] for c in x): i for x, i in vocabulary.items()}, special_tokens={})
 
 
 class Tokens:
-    """Ids of texts by the ``tokenizers`` file at ``path``; each distinct piece of text is tokenized once and kept.
+    """Ids of texts by the ``tokenizers`` file at ``path``.
 
-    A byte-level tokenizer splits a text into pieces before merging bytes within each. For plain texts the same split
-    is made here on whole arrays, and pieces are looked up by 64-bit hash. The kept pieces are dropped beyond
-    ``MAX_PIECES``; they are a cache only.
+    Texts go to a merger by rank, several times as fast, if the file is of the form that makes the ids equal; texts that
+    hold one of the file's added tokens, and all texts of other files, go to ``tokenizers`` itself.
     """
 
-    SLOTS, MAX_PIECES, CHARS = 1 << 20, 400_000, 1 << 18
-
     def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.path = path
+        self.added = [t["content"] for t in file.get("added_tokens", [])]
+        self.ranked = _ranked(file)
+
+    @functools.cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = _classes()
-        self.value = mix64((np.arange(_PLAIN, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        self.up = np.cumprod(np.r_[np.uint64(1), np.full(self.CHARS, _STEP)], dtype=np.uint64)
-        self.down = np.cumprod(np.r_[np.uint64(1), np.full(self.CHARS, _STEP_INV)], dtype=np.uint64)
-        self.clear()
-
-    def clear(self) -> None:
-        self.key = np.zeros(self.SLOTS, np.uint64)
-        self.piece = np.full(self.SLOTS, -1, np.int32)
-        self.known: dict[int, int] = {}
-        self.first = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.pool = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _grown(self, a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= a.size else np.r_[a, np.zeros(max(n, 2 * a.size) - a.size, a.dtype)]
-
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
-        fresh = [i for i, h in enumerate(hashes.tolist()) if h not in self.known]
-        if fresh:
-            encoded = [e.ids for e in self.tokenizer.encode_batch([texts[i] for i in fresh], add_special_tokens=False)]
-            size = np.array([len(x) for x in encoded], np.int64)
-            n, total = len(self.known), int(size.sum())
-            self.first, self.size = self._grown(self.first, n + len(fresh)), self._grown(self.size, n + len(fresh))
-            self.pool = self._grown(self.pool, self.used + total)
-            self.pool[self.used : self.used + total] = np.concatenate([np.array(x, np.uint32) for x in encoded])
-            self.size[n : n + len(fresh)] = size
-            self.first[n : n + len(fresh)] = self.used + np.cumsum(size) - size
-            self.used += total
-            for k, i in enumerate(fresh):
-                self.known[int(hashes[i])] = n + k
-        return np.array([self.known[h] for h in hashes.tolist()], np.int32)
-
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of non-empty texts of plain code points."""
-        whole = "".join(texts)
-        cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        n = cp.size
-        ends = np.cumsum([len(t) for t in texts])
-        starts = np.r_[0, ends[:-1]]
-        kind = self.kind[cp]
-        new = np.ones(n, bool)
-        new[1:] = kind[1:] != kind[:-1]
-        edge = np.zeros(n + 1, bool)
-        edge[starts] = True
-        edge[n] = True
-        new[starts] = True
-        space = kind == 0
-        # In a run of white space before other text, the last character is a piece of its own, or leads the next piece.
-        last = space.copy()
-        last[:-1] &= ~space[1:]
-        last &= ~edge[1:]
-        new[last] = True
-        follows = np.flatnonzero(last & (cp == 32)) + 1
-        new[follows] = False
-        # 's 't 're 've 'm 'll 'd
-        for q in np.flatnonzero((cp == 39) & new).tolist():
-            tail = whole[q + 1 : min(q + 3, int(ends[np.searchsorted(ends, q, "right")]))]
-            k = 1 if tail[:1] in ("s", "t", "m", "d") and tail else 2 if tail in ("re", "ve", "ll") else 0
-            if k:
-                new[q + 1] = False
-                if k == 2:
-                    new[q + 2] = False
-                if q + 1 + k < n:
-                    if not edge[q + 1 + k] and kind[q + 1 + k] == 1:
-                        new[q + 1 + k] = True
-        at = np.flatnonzero(new)
-        to = np.r_[at[1:], n]
-        up, down = self.up, self.down
-        if n >= up.size:
-            up = np.cumprod(np.r_[np.uint64(1), np.full(n, _STEP)], dtype=np.uint64)
-            down = np.cumprod(np.r_[np.uint64(1), np.full(n, _STEP_INV)], dtype=np.uint64)
-        run = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[cp] * up[:n], out=run[1:])
-        h = mix64((run[to] - run[at]) * down[at] + (to - at).astype(np.uint64))
-        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        piece = np.where(self.key[slot] == h, self.piece[slot], -1)
-        miss = np.flatnonzero(piece < 0)
-        if miss.size:
-            uniq, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            src = miss[where]
-            got = self._learn(uniq, [whole[a:b] for a, b in zip(at[src].tolist(), to[src].tolist())])
-            piece[miss] = got[back]
-            self.key[slot[src]], self.piece[slot[src]] = uniq, got
-        size = self.size[piece]
-        cut = np.r_[0, np.cumsum(size)]
-        spot = np.arange(cut[-1]) - np.repeat(cut[:-1] - self.first[piece], size)
-        ids = self.pool[spot]
-        borders = cut[np.searchsorted(at, np.r_[starts, n])]
-        return [ids[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+        return Tokenizer.from_file(self.path)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        plain, odd = [], []
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = np.zeros(0, np.uint32)
-            elif (t.isascii() or max(t) < chr(_PLAIN)) and not any(s in t for s in self.special):
-                plain.append(i)
+        out = []
+        for t in texts:
+            if self.ranked is None or any(s in t for s in self.added):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
             else:
-                odd.append(i)
-        while plain:
-            if len(self.known) > self.MAX_PIECES:
-                self.clear()
-            n, chars = 0, 0
-            while n < len(plain) and (not n or chars + len(texts[plain[n]]) <= self.CHARS):
-                chars += len(texts[plain[n]])
-                n += 1
-            for i, x in zip(plain[:n], self._plain([texts[i] for i in plain[:n]])):
-                out[i] = x
-            plain = plain[n:]
-        for i in odd:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                out.append(np.array(self.ranked.encode_ordinary(t), np.uint32))
         return out
 
 
-_KEPT: dict[str, Tokens] = {}
-
-
+@functools.lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
-    """One for each path and Python worker."""
-    if path not in _KEPT:
-        _KEPT[path] = Tokens(path)
-    return _KEPT[path]
+    """One for each path and Python worker; it holds the vocabulary only, nothing of the texts."""
+    return Tokens(path)
 
 
 # --- the plan -----------------------------------------------------------------------------------
@@ -223,22 +136,19 @@ class Plan:
     ordinal: np.ndarray
 
 
-def combinations(histogram: np.ndarray, window: int, max_triples: int = MAX_TRIPLES) -> np.ndarray:
-    """Rows of three lengths that sum to ``window``, the last 0 in pairs; only lengths that occur."""
+def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
+    """Rows of three lengths that sum to ``window``, the last 0 in pairs: all of the lengths that occur, at most
+    ``window ** 2 / 12`` or so."""
     there = np.flatnonzero(histogram)
     there = there[there > 0]
     has = np.zeros(window + 1, bool)
     has[there] = True
-    pairs = np.array([(a, window - a, 0) for a in there.tolist() if a <= window - a and has[window - a]], np.int64).reshape(-1, 3)
-    a, b = np.meshgrid(there, there, indexing="ij")
-    c = window - a - b
-    ok = (a <= b) & (b <= c)
-    ok[ok] = has[c[ok]]
-    triples = np.stack([a[ok], b[ok], c[ok]], axis=1)
-    if len(triples) > max_triples:  # those of lengths that abound
-        room = histogram[triples].min(axis=1)
-        triples = triples[np.lexsort((np.arange(len(triples)), -room))[:max_triples]]
-    return np.concatenate([pairs, triples])
+    found = [np.array([(a, window - a, 0) for a in there.tolist() if a <= window - a and has[window - a]], np.int64).reshape(-1, 3)]
+    for a in there[there <= window // 3].tolist():
+        b = there[(there >= a) & (there <= (window - a) // 2)]
+        b = b[has[window - a - b]]
+        found.append(np.stack([np.full(b.size, a), b, window - a - b], axis=1))
+    return np.concatenate(found)
 
 
 def repeat_counts(histogram: np.ndarray, combos: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -274,30 +184,35 @@ def repeat_counts(histogram: np.ndarray, combos: np.ndarray, steps: int = 400) -
     return x
 
 
-def make_plan(histogram: np.ndarray, window: int = WINDOW, max_triples: int = MAX_TRIPLES) -> Plan:
+def make_plan(histogram: np.ndarray, window: int = WINDOW) -> Plan:
     """``histogram``: number of tails by length, 0 to ``window - 1``."""
     h = np.asarray(histogram, np.int64)
-    combos = combinations(h, window, max_triples)
+    combos = combinations(h, window)
     x = repeat_counts(h, combos)
-    left = h.copy()
-    start = np.zeros(window, np.int64)
-    rows = []
+    left, start = h.tolist(), [0] * window
+    rows: list[tuple[int, int, int, int, int]] = []
     sequence = 0
-    for i in np.lexsort((np.arange(len(combos)), -x)):
-        if x[i] < 0.5:
-            break
-        lengths, uses = np.unique(combos[i][combos[i] > 0], return_counts=True)
-        n = min(int(round(x[i])), int((left[lengths] // uses).min()))
-        if not n:
-            continue
+
+    def use(parts: list[int], n: int) -> None:
+        nonlocal sequence
         offset = 0
-        for length, u in zip(lengths.tolist(), uses.tolist()):
-            for _ in range(u):
-                rows.append((length, int(start[length]), int(start[length]) + n, sequence, offset))
-                start[length] += n
-                left[length] -= n
-                offset += length
+        for length in parts:
+            rows.append((length, start[length], start[length] + n, sequence, offset))
+            start[length] += n
+            left[length] -= n
+            offset += length
         sequence += n
+
+    order = np.lexsort((np.arange(len(combos)), -x))
+    listed = [[z for z in c if z] for c in combos[order].tolist()]
+    wanted = np.rint(x[order]).astype(np.int64).tolist()
+    for rounded in (True, False):  # as often as the rounded count says; then, greedily, as often as lengths are left
+        for parts, n in zip(listed, wanted):
+            if (n or not rounded) and all(left[z] for z in parts):
+                n = min([left[z] // parts.count(z) for z in parts] + [n] * rounded)
+                if n:
+                    use(parts, n)
+    left, start = np.array(left, np.int64), np.array(start, np.int64)
     lengths = np.arange(window)
     base = np.r_[0, np.cumsum(left * lengths)][:-1]
     laid = int((left * lengths).sum())
@@ -341,25 +256,26 @@ def tokenized(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str,
     """``doc_id, doc_tokens, crcs`` (of windows that the document fills alone), ``tail`` (its other ids), ``salt``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(path)
+        tokens, turn = _tokens(path), 0
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                n, crcs, tails = [], [], []
+                n, crcs, tails, salts = [], [], [], []
                 for ids in tokens.ids([t or "" for t in part.column(1).to_pylist()]):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     full = ids.size // window
                     n.append(ids.size)
                     crcs.append([zlib.crc32(ids[i * window : (i + 1) * window]) for i in range(full)])
                     tails.append(ids[full * window :].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())], names=["doc_id", "doc_tokens", "crcs", "tail"])
+                    salts.append((zlib.crc32(tails[-1]) + turn) % SALTS)  # equal rows take turns
+                    turn += 1
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(salts, pa.int32())], names=["doc_id", "doc_tokens", "crcs", "tail", "salt"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, tail binary")
-    return made.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tail"), F.lit(SALTS)).cast("int"))
+    return rows.mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, tail binary, salt int")
 
 
-def pack_sequences(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, max_triples: int = MAX_TRIPLES) -> DataFrame:
+def pack_sequences(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, one row for each piece.
 
     Every row of ``docs`` is a document of its own, repeated rows and null ids too; a null or empty text is its end id
@@ -374,7 +290,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     histogram = np.zeros(window, np.int64)
     for r in by_size:
         histogram[r["size"]] = r["n"]
-    plan = spark.sparkContext.broadcast(make_plan(histogram, window, max_triples))
+    plan = spark.sparkContext.broadcast(make_plan(histogram, window))
 
     before = counts.select(F.col("size").alias("_z"), F.col("salt").alias("_s"), (F.sum("n").over(W.partitionBy("size").orderBy("salt")) - F.col("n")).alias("before"))
     within = rows.withColumn("place", F.row_number().over(W.partitionBy("size", "salt").orderBy("doc_id", "doc_tokens", "tail", "crcs")) - 1)

@@ -83,6 +83,45 @@ def test_quick_pieces_on_random_text():
     assert [x.tolist() for x in tokens.ids(texts)] == token_ids(texts)
 
 
+def test_ids_of_every_code_point():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}1{c}!{c}\n{c}  {c}z" for c in every[i : i + 2000]) for i in range(0, len(every), 2000)]
+    tokens = packing.Tokens(packing.tokenizer_path())
+    assert tokens.ranked is not None
+    assert [x.tolist() for x in tokens.ids(texts)] == token_ids(texts)
+
+
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    """A file that splits or merges in another way has no merger by rank."""
+    import json
+
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    for k, change in enumerate(({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}})):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(file | change), encoding="utf-8")
+        tokens = packing.Tokens(str(path))
+        assert tokens.ranked is None
+        assert [x.tolist() for x in tokens.ids(["It's ON  now"])] == [tokens.tokenizer.encode("It's ON  now", add_special_tokens=False).ids]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_plan_places_all_tails_without_padding(seed):
+    """Most of an even histogram goes into whole windows, and every rank of every length has one place."""
+    h = np.random.default_rng(seed).integers(0, 40, 128)
+    plan = packing.make_plan(h, 128)
+    assert plan.laid <= 0.3 * (h * np.arange(128)).sum()
+    placed = np.zeros(128, np.int64)
+    full: dict[int, int] = defaultdict(int)
+    for key, stop, sequence in zip(plan.key.tolist(), plan.stop.tolist(), plan.sequence.tolist()):
+        placed[key >> 44] += stop - key
+        for s in range(sequence, sequence + stop - key):
+            full[s] += key >> 44
+    assert set(full.values()) == {128} and sorted(full) == list(range(plan.laid_from))
+    assert (placed == plan.from_rank).all() and ((h - placed)[1:] >= 0).all()
+    assert plan.laid == ((h - placed) * np.arange(128)).sum()
+
+
 @pytest.mark.parametrize("window", [16, 1024])
 def test_every_id_in_one_piece(spark, docs, rows, window):
     ids = [np.array([*x, 0], "<u4") for x in token_ids([r[1] or "" for r in rows])]
