@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -32,24 +35,59 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is set, a folder of this process serves a local session, whose threads all see it; on a cluster, where
+    they wouldn't, that is an error.
+    """
     for get in (spark.sparkContext.getConf().get, spark.conf.get):
         named = get("spark.checkpoint.dir", None)
         if named:
             return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_scratch:
         _own_scratch.append(tempfile.mkdtemp(prefix="quillspark-"))
         atexit.register(shutil.rmtree, _own_scratch[0], ignore_errors=True)
     return "file://" + _own_scratch[0]
 
 
-def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(spark: SparkSession, df: DataFrame, label: str, outer: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Within ``temporary`` the table is deleted when that ends; with ``outer``, only when the one around it ends, if any.
+    """
     path = f"{scratch_dir(spark)}/quillspark/{label}-{uuid.uuid4().hex}"
+    scopes = _scopes.get()
+    if outer:
+        scopes = scopes[:-1]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables materialised within, so nothing read later may rest on them."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in own:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` rows of ``df`` with the smallest hashes of ``key``; all, if there are fewer.
 
@@ -192,13 +230,13 @@ def shingle_sets(texts: pa.Array, width: int, powers: Powers) -> Iterator[tuple[
 # --- connected components -----------------------------------------------------------------------
 
 
-def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges`` (a, b: long); label is the smallest node reachable.
 
     Alternating large-star and small-star rounds: each rewires every node's neighbours to its smallest one, so a
-    round costs two aggregations over the edges, and chains shorten exponentially. Rounds end when the edges stay.
+    round costs two aggregations over the edges, and chains shorten exponentially. Rounds end when the edges stay,
+    which the order of nodes makes sure of.
     """
-    now = materialize(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("_u", "m").alias("m"))
@@ -210,15 +248,14 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    seen = signature(now)
-    for _ in range(max_rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both, True)
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-        now = materialize(spark, star(down, False).where("u <> v").distinct(), "star")
-        was, seen = seen, signature(now)
-        if was == seen:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct()).groupBy("node").agg(F.min("label").alias("label"))
+    with temporary(spark):
+        now = materialize(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+        seen, was = signature(now), None
+        while seen != was:
+            both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = star(both, True)
+            down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+            now = materialize(spark, star(down, False).where("u <> v").distinct(), "star")
+            was, seen = seen, signature(now)
+        ends = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct())
+        return materialize(spark, ends.groupBy("node").agg(F.min("label").alias("label")), "components", outer=True)

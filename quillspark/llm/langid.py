@@ -10,31 +10,34 @@ weights is therefore folded once into one vocabulary-by-languages matrix, and a
 matrix product of its presence rows with that matrix.
 
 Training is bounded by parameters: ``LANDMARKS`` and ``TRAIN`` texts a language, chosen by the smallest hashes of their
-ids, each read up to ``TRAIN_CHARS`` characters. Scoring reads every whole text.
+ids, each read in a window of ``TRAIN_CHARS`` characters that begins at a place drawn by that hash. Every language is
+learned; the driver holds that much for each, so more than ``MAX_LANGUAGES`` are an error. Scoring reads every whole
+text.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.functions import ArrowUDFType
 
-from .common import bounded_sample, ensure_importable
+from .common import ensure_importable
 
 MAX_N = 4
 LANDMARKS, TRAIN, TRAIN_CHARS = 64, 400, 4000
 RIDGE = 0.05
-MAX_LANGUAGES = 200
+#: Beyond so many distinct languages training stops with an error.
+MAX_LANGUAGES = 500
 UNDETERMINED = "und"
 #: Slots of the table from n-gram hashes to the vocabulary.
 SLOTS = 1 << 21
-BLOCK_CHARS, BLOCK_ROWS = 1 << 18, 128
+BLOCK_CHARS, BLOCK_ROWS = 1 << 18, 64
 
 
 def held_out(id_col: str) -> Column:
@@ -152,61 +155,67 @@ def fit(landmarks: list[str], texts: list[str], labels: list[str], ridge: float
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", landmarks: int = LANDMARKS, per_language: int = TRAIN) -> Model | None:
-    """A model from the rows that aren't held out and have text and language; None if there are none."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    picked: list[tuple[str, str]] = []
-    starts: list[str] = []
-    for lang in sorted(languages):
-        own = known.where(F.col("lang") == lang).select(F.col("id").cast("string").alias("id"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
-        rows = [r["text"] for r in sorted(bounded_sample(own, "id", landmarks + per_language).collect(), key=lambda r: (zlib.crc32((r["id"] or "").encode() + b"."), r["text"]))]
-        starts += rows[:landmarks]
-        picked += [(t, lang) for t in (rows[landmarks:] or rows)]
-    if not picked:
+    """A model from the rows that aren't held out and have text and language; None if there are none.
+
+    Two passes over the table, however many languages there are: one counts, one draws by hash thresholds.
+    """
+    known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
         return None
+    need = landmarks + per_language
+    top = 1 << 40
+    share = known.sparkSession.createDataFrame([(c, top if n <= 2 * need + 200 else int(top * (2 * need + 200) / n)) for c, n in sorted(counts.items())], "_lang string, _upto long")
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(top))
+    near = known.withColumn("_place", place).join(F.broadcast(share), F.col("lang") == F.col("_lang")).where("_place < _upto")
+    window = F.substring(F.col("text"), (F.col("_place") % F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1)) + 1).cast("int"), F.lit(TRAIN_CHARS))
+    drawn = near.select("lang", "_place", window.alias("text")).withColumn("_turn", F.row_number().over(W.partitionBy("lang").orderBy("_place", "text"))).where(F.col("_turn") <= need)
+    texts: dict[str, list[str]] = {}
+    for r in sorted(drawn.select("lang", "_place", "text").collect(), key=lambda r: (r["lang"].encode(), r["_place"], r["text"])):
+        texts.setdefault(r["lang"], []).append(r["text"])
+    picked = [(t, lang) for lang, own in texts.items() for t in (own[landmarks:] or own)]
     # Long texts are long evidence; shorter cuts of them show the model what little text looks like.
     cuts = [(t[: 40 + (7919 * i) % 400], lang) for i, (t, lang) in enumerate(picked) if len(t) > 480]
     both = picked + cuts
-    return fit(starts, [t for t, _ in both], [c for _, c in both])
+    return fit([t for own in texts.values() for t in own[:landmarks]], [t for t, _ in both], [c for _, c in both])
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``k0, k1, ...`` (the ``keep`` columns), ``lang_pred, score``. Null and letterless texts get ``und`` and 0."""
+def predicted(spark: SparkSession, text: Column, model: Model | None) -> Column:
+    """A struct ``lang_pred, score`` for a text; of the row, only the text goes to Python.
+
+    Null and letterless texts get ``und`` and 0, and so does every text without a model.
+    """
     ensure_importable(spark)
-    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    at_text = keep.index(text_col) if text_col in keep else len(keep)
-    rows = docs.select(*columns, *([] if text_col in keep else [F.col(text_col).cast("string").alias("text")]))
-    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if model is None:
-        out = rows.select(*[F.col(f"k{i}") for i in range(len(keep))], F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    else:
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            grams = Grams()
-            room = np.zeros((BLOCK_ROWS, m.weights.shape[0]), np.float32)
-            names = np.array([*m.languages, UNDETERMINED], object)
-            for b in batches:
-                texts = [t if t is not None else "" for t in b.column(at_text).to_pylist()]
-                best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        return F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        grams = Grams()
+        room = np.zeros((BLOCK_ROWS, m.weights.shape[0]), np.float32)
+        names = np.array([*m.languages, UNDETERMINED], object)
+        for column in columns:
+            best, score = np.zeros(len(column), np.int64), np.zeros(len(column))
+            for lo in range(0, len(column), BLOCK_ROWS):
+                texts = [t if t is not None else "" for t in column.slice(lo, BLOCK_ROWS).to_pylist()]
                 at = 0
                 while at < len(texts):
                     end, chars = at + 1, len(texts[at])
-                    while end < len(texts) and end - at < BLOCK_ROWS and chars + len(texts[end]) <= BLOCK_CHARS:
+                    while end < len(texts) and chars + len(texts[end]) <= BLOCK_CHARS:
                         chars += len(texts[end])
                         end += 1
                     p, has = _presence(grams, m.slot, m.weights.shape[0], texts[at:end], room)
                     s = np.clip(m.scores(p), 0, 1).astype(np.float64)
-                    top = s.argmax(axis=1)
                     share = s.max(axis=1) / np.maximum(s.sum(axis=1), 1e-9)
-                    best[at:end] = np.where(has, top, len(m.languages))
-                    score[at:end] = np.where(has, np.clip(share, 0, 1), 0)
+                    best[lo + at : lo + end] = np.where(has, s.argmax(axis=1), len(m.languages))
+                    score[lo + at : lo + end] = np.where(has, np.clip(share, 0, 1), 0)
                     at = end
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names[best], pa.string()), pa.array(score)], names=[*b.schema.names[: len(keep)], "lang_pred", "score"])
+            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
-        out = rows.mapInArrow(run, schema)
-    return out
+    return F.arrow_udf(run, "lang_pred string, score double", ArrowUDFType.SCALAR_ITER).asNondeterministic()(text.cast("string"))
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
@@ -217,8 +226,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     nothing can be learned. Rows with a null id are never held out. Other columns are ignored, whatever their names.
     """
     model = train(docs, id_col, text_col, lang_col, **options)
-    out = predict(spark, docs, model, text_col, (id_col,))
-    return out.select(F.col("k0").alias("doc_id"), held_out("k0").alias("held_out"), "lang_pred", "score")
+    out = docs.select(F.col(id_col).alias("doc_id"), predicted(spark, F.col(text_col), model).alias("of"))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "of.lang_pred", "of.score")
 
 
 #: How far above an even share of the scores the best language has to be.
@@ -226,8 +235,12 @@ MIN_LEAD = 1.1
 
 
 def with_known_language(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_lead: float = MIN_LEAD) -> DataFrame:
-    """``docs`` without the rows rejected: no letter, or of several languages none that stands out by ``min_lead``."""
+    """``docs`` without the rows rejected: no letter, or of several languages none that stands out by ``min_lead``.
+
+    Null, empty and letterless texts go; so does every row if nothing can be learned. Rows with a null id or language
+    are judged as others are. Repeated rows stay or go together.
+    """
     model = train(docs, id_col, text_col, lang_col)
-    scored = predict(spark, docs, model, text_col, tuple(docs.columns))
     even = 1 / len(model.languages) if model else 1.0
-    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min(min_lead * even, 0.99))).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    judged = docs.select(F.struct("*").alias("_doc"), predicted(spark, F.col(text_col), model).alias("_of"))
+    return judged.where((F.col("_of.lang_pred") != UNDETERMINED) & (F.col("_of.score") >= min(min_lead * even, 0.99))).select("_doc.*")

@@ -72,6 +72,24 @@ def test_undetermined(spark, docs, empty):
     assert {r[0] for r in kept.select("doc_id").collect()} <= {i for i, t in texts.items() if any(c.isalpha() for c in t or "")}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Far more languages than one used to learn, each with letters of its own; too many are an error, not a loss."""
+    rows = [(3 * (i * 4 + j) + (i * 4 + j) % 2, " ".join(chr(0x4E00 + 7 * i + k) * 2 for k in range(5)), f"l{i:03d}") for i in range(230) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.languages == sorted({r[2] for r in rows if not held(r[0])}) and len(model.languages) > 220
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 100)
+    with pytest.raises(ValueError, match="more than 100 languages"):
+        langid.train(df)
+
+
+def test_rows_keep_their_columns_and_repeats(spark):
+    rows = [(i, "ka to mi ra su ne ho ka to mi ra", "aa", "x") for i in range(8)] + [(50 + i, "schl ung ein ver üb acht ung schl", "bb", "y") for i in range(8)] + [(None, "ka to mi ra su ne ho", None, None), (99, None, "aa", "z"), (99, "123", "aa", "z")]
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string, _of string")
+    got = sorted(map(tuple, langid.with_known_language(spark, df).collect()), key=repr)
+    assert got == sorted([r for r in rows + rows[:1] if r[1] not in (None, "123")], key=repr)
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert {(r["lang_pred"], r["score"]) for r in langid.identify_languages(spark, df).collect()} == {("und", 0.0)}
