@@ -9,13 +9,17 @@ steps, all over every document:
    (prefix filtering). Passages and lines that many documents share thereby make no long lists, and nothing is capped.
 3. Each list proposes its best connected node, its head, against the others (a star, linear in the list). The union
    sketch estimates each overlap and drops the clearly unlike; exact Jaccard on full sets confirms the rest.
-4. Components of the confirmed links. Lists that then still hold nodes of different components are open, and propose
-   pairs across components, unless counts prove that no link is possible. The proof uses the shingles that no other
-   node of an open list holds (``u`` of them) and the distance ``d`` to the list's head, both exact: a link allows a
-   symmetric difference of at most T = (1 - t) / (1 + t) * (n + n'); the two nodes' differences from the head overlap in
-   at most min(d - u, d' - u') shingles, so d + d' - 2 min(d - u, d' - u') <= T is needed. Groups of many copies edited
-   too much to link thus propose next to nothing. What is proposed is estimated and confirmed as before, so no link
-   between components is lost.
+4. Components of the confirmed links. Lists that then still hold nodes of different components are open. Their nodes
+   are listed anew, by what tells them from their list's head (below), and these lists, which are short, propose first
+   stars, then all pairs that are still across components. Exact Jaccard confirms, so no link between components is
+   lost, and a group of many copies edited too much to link proposes next to nothing.
+
+**Lists of differences.** Let D(x) be the symmetric difference of x and the head h, d its size, c = (1 - t) / (1 + t) for
+the threshold t, and s(x) = d(x) - c n(x). As x and y differ by d(x) + d(y) - 2 |D(x) and D(y)| shingles, they link just
+if 2 |D(x) and D(y)| >= s(x) + s(y). A node that isn't linked to h has s > c n(h), h itself has -c n(h) and no node has
+less; so of a pair across components one at least is outside the head's, the sum is above 0, and D(x) and D(y) share as
+many elements as that says. Elements are ordered by how many nodes of the head's lists hold them; a pair shares one
+among the first d - o + 1 of either if it shares o. Copies with edits of their own share next to no elements early on.
 
 The estimate keeps a pair down to ``slack`` below the threshold (over five standard deviations at the default ``k``);
 sets no larger than the sketch are compared exactly at once.
@@ -23,14 +27,14 @@ sets no larger than the sketch are compared exactly at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _MULT, Powers, components, ensure_importable, materialize, mix64, shingle_sets
+from .common import _MULT, Powers, components, ensure_importable, materialize, mix64, shingle_sets, temporary
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 85, 100
@@ -38,10 +42,18 @@ SKETCH = 48
 SLACK = 0.28
 #: Bits of the filter that spares reading texts of nodes without candidates; fixed, so its size never grows.
 FILTER_BITS = 1 << 24
+#: Tables of ids are broadcast up to so many rows (8 bytes each), by their count; larger ones are joined by exchange.
+BROADCAST_IDS = 1 << 20
 
 
 def _row_id(id_col: str, text_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("row"), F.col(text_col)))
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def _with_ids(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """``rows`` whose ``column`` is (left_semi) or isn't (left_anti) among ``ids``, a table of one column of that name."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, column, how)
 
 
 def _digest(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -58,7 +70,8 @@ def _digest(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = SKETCH) -> DataFrame:
-    """``doc_id, rid, n_shingles, node, sketch`` for every row; node is the digest of the whole set."""
+    """``doc_id, rid, n_shingles, node, sketch`` for every row; rid tells texts of one id apart, node is the digest of
+    the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -108,15 +121,16 @@ def _size_fits(a: str, b: str, num: int, den: int) -> Column:
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int, slack: float) -> DataFrame:
     """Pairs ``a, b`` whose union sketch allows a link; ``sure``: the sketches are the whole sets and say it is one."""
-    left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    own = _with_ids(classes.select("node", "n", "sketch"), pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+    left = own.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = own.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     met = pairs.join(left, "a").join(right, "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.array_intersect("sa", "sb")
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
     met = met.withColumn("whole", whole).withColumn("hits", F.when(whole, F.size(both)).otherwise(F.size(F.array_intersect(union, both)))).withColumn("of", F.when(whole, F.size(F.array_union("sa", "sb"))).otherwise(F.size(union)))
     fits = F.when(F.col("whole"), F.col("hits") * den >= F.col("of") * num).otherwise(F.col("hits") >= F.ceil(F.col("of") * (num / den - slack)))
-    return met.where(fits).select("a", "b", F.col("whole").alias("sure"), "hits")
+    return met.where(fits).select("a", "b", F.col("whole").alias("sure"))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -144,11 +158,10 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``a, b`` with ``same``, the size of their intersection, and ``linked``: exact Jaccard against the threshold."""
+    """The pairs ``a, b`` that link: exact Jaccard of the full sets against the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same = np.zeros(b.num_rows, np.int64)
             linked = np.zeros(b.num_rows, bool)
             fa, fb = b.column(2), b.column(3)
             va, vb = fa.values.to_numpy(), fb.values.to_numpy()
@@ -156,97 +169,182 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
             for i in range(b.num_rows):
                 x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
                 spot = np.minimum(np.searchsorted(y, x), y.size - 1)
-                same[i] = np.count_nonzero(y[spot] == x)
-                linked[i] = same[i] * den >= num * (x.size + y.size - same[i])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array(linked)], names=["a", "b", "same", "linked"])
+                same = np.count_nonzero(y[spot] == x)
+                linked[i] = same * den >= num * (x.size + y.size - same)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(linked))
 
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("full").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("full").alias("fb")), "b")
-    return met.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long, same long, linked boolean")
+    return met.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
-def _checked(spark: SparkSession, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b, same, linked`` for all estimated pairs; those of small sets are settled already."""
-    judged = _confirmed(pairs.where("not sure").select("a", "b"), sets, num, den)
-    return materialize(spark, judged.union(pairs.where("sure").select("a", "b", F.col("hits").cast("long"), F.lit(True))), "judged")
+def _wanted(spark: SparkSession, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    return materialize(spark, _with_ids(classes.select("node", "rid"), nodes.distinct(), "node", "left_semi"), "wanted")
 
 
-def _wanted(spark: SparkSession, nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    return materialize(spark, nodes.distinct().join(classes.select("node", "rid"), "node").select("node", "rid"), "wanted")
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the ``label`` of their ``node``; a node without links is its own."""
+    return rows.join(labels.select(F.col("node").alias("_n"), F.col("label").alias("_l")), F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("_l", "node")).drop("_n", "_l")
+
 
+def _mixed(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows of lists (by ``key``) that hold nodes of more than one label."""
+    mixed = rows.groupBy(*key).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select(*[F.col(k).alias(f"_{k}") for k in key])
+    same = [F.col(k) == F.col(f"_{k}") for k in key]
+    return rows.join(mixed, same).drop(*[f"_{k}" for k in key])
 
-def _open_pairs(spark: SparkSession, open_lists: DataFrame, sets: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``a, b`` across components that share a list and that counts don't rule out."""
+
+def _able(open_lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of the open lists whose node shares enough of its set with other open nodes to link with any."""
     held = sets.select("node", F.explode("full").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"))
     alone = held.where("c = 1").groupBy("node").agg(F.count("*").alias("u")).select(F.col("node").alias("_n"), "u")
     counted = open_lists.join(alone, F.col("node") == F.col("_n"), "left").drop("_n").withColumn("u", F.coalesce("u", F.lit(0)))
-    able = counted.where(F.col("u") * num <= (F.col("n") - F.col("u")) * (den - num))
-    to_head = tried.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "same")
-    near = able.join(to_head, (F.greatest("node", "h") == F.col("_a")) & (F.least("node", "h") == F.col("_b")), "left")
-    near = near.select("value", "node", "n", "label", "u", F.when(F.col("node") == F.col("h"), 0).otherwise(F.col("n") + F.col("hn") - 2 * F.col("same")).alias("d"))
-    own = near.groupBy("node").agg(F.array_sort(F.collect_set("value")).alias("values")).select(F.col("node").alias("_n"), "values")
-    near = materialize(spark, near.join(own, F.col("node") == F.col("_n")).drop("_n"), "open")
-    other = near.select(F.col("value").alias("_v"), F.col("node").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"), F.col("u").alias("ou"), F.col("d").alias("od"), F.col("values").alias("ov"))
-    both = F.least(F.col("n") - F.col("u"), F.col("on") - F.col("ou")) * (den - num) >= (F.col("u") + F.col("ou")) * num
-    apart = F.col("d") + F.col("od") - 2 * F.least(F.col("d") - F.col("u"), F.col("od") - F.col("ou"))
-    close = F.coalesce(apart * (den + num) <= (F.col("n") + F.col("on")) * (den - num), F.lit(True))
-    once = F.array_min(F.array_intersect("values", "ov")) == F.col("value")  # at the first list that both share
-    met = near.join(other, (F.col("value") == F.col("_v")) & (F.col("label") < F.col("ol")) & _size_fits("n", "on", num, den) & both & close & once)
-    return met.select(F.greatest("node", "o").alias("a"), F.least("node", "o").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return counted.where(F.col("u") * num <= (F.col("n") - F.col("u")) * (den - num)).drop("u")
 
 
-def near_duplicate_groups(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, k: int = SKETCH, slack: float = SLACK
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs``.
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``h, node`` with ``diff``, the symmetric difference of their sets, for each row of ``members``."""
 
-    Documents link if 100 * |A and B| >= 85 * |A or B| (``numerator`` and ``denominator``). component_id is the
-    smallest doc_id reachable; kept marks the row that carries it. Null, empty and blank texts have an empty set and
-    link with nothing. Rows with a null id take part and never name a component. Repeated rows share their component;
-    each that carries the smallest id is kept. Other columns of ``docs`` are ignored, whatever their names.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 256):
+                b = big.slice(lo, 256)
+                diff = [np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True) for x, y in zip(b.column(2), b.column(3))]
+                offs = np.r_[0, np.cumsum([x.size for x in diff])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(diff), pa.int64()))], names=["h", "node", "diff"])
+
+    met = members.join(sets.select(F.col("node").alias("h"), F.col("full").alias("fh")), "h").join(sets.select("node", F.col("full").alias("fn")), "node")
+    return met.select("h", "node", "fh", "fn").mapInArrow(run, "h long, node long, diff array<long>")
+
+
+def _difference_lists(spark: SparkSession, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``h, e, node, n, p, d, s, wide, near``: nodes by the elements of their difference from their head.
+
+    ``members``: node, n, h, hn, and inside: whether it is in the head's component. s is the module's s times num + den.
+    p is the element's place among the node's, rarest first. An inside node meets outside ones only; an outside node
+    meets inside nodes through all its rows, and other outside ones through those marked ``near``, its first.
     """
+    c, both = den - num, 2 * (den + num)
+    diffs = materialize(spark, _differences(members.select("h", "node"), sets), "differences")
+    held = diffs.select("h", "node", F.explode("diff").alias("e"))
+    shared = held.groupBy("h", "e").agg(F.count("*").alias("df")).where("df > 1").select(F.col("h").alias("_h"), F.col("e").alias("_e"), "df")
+    rare = held.join(shared, (F.col("h") == F.col("_h")) & (F.col("e") == F.col("_e"))).groupBy("h", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("rare"))
+    met = members.join(rare, ["h", "node"]).join(diffs.select("h", "node", F.size("diff").alias("d")), ["h", "node"])
+    met = met.withColumn("s", F.col("d") * (den + num) - F.col("n") * c)
+    least = met.where("inside").groupBy("h").agg(F.min("s").alias("_low")).select(F.col("h").alias("_h"), "_low")
+    met = met.join(least, F.col("h") == F.col("_h"), "left").drop("_h")
+    past = F.floor((F.col("s") + F.col("hn") * c) / both) + 1  # shared with any outside node
+    inner = F.when(F.col("_low").isNotNull(), F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("_low")) / both)))  # with any inside one
+    met = met.withColumn("first", F.col("d") - past + 1).withColumn("reach", F.when(F.col("inside"), F.col("first")).otherwise(F.greatest("first", F.coalesce(F.col("d") - inner + 1, "first"))))
+    met = met.withColumn("alone", F.col("d") - F.size("rare"))
+    listed = met.where("reach > alone").select("h", "node", "n", "inside", "d", "s", "first", "alone", F.posexplode(F.expr("slice(rare, 1, cast(reach - alone as int))")).alias("i", "x"))
+    listed = listed.select("h", F.col("x.e").alias("e"), "node", "n", "inside", "d", "s", (F.col("alone") + F.col("i") + 1).alias("p"), "first")
+    return materialize(spark, listed.withColumn("near", F.col("p") <= F.col("first")).drop("first"), "listed")
+
+
+def _meets(rows: DataFrame, others: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b`` for rows of one difference list whose nodes have different labels and may share enough elements."""
+    o = others.select(*[F.col(x).alias(f"o_{x}") for x in ("h", "e", "node", "n", "label", "d", "s", "p")])
+    need = F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("o_s")) / (2 * (den + num))))
+    may = (F.col("p") <= F.col("d") - need + 1) & (F.col("o_p") <= F.col("o_d") - need + 1)
+    met = rows.join(o, (F.col("h") == F.col("o_h")) & (F.col("e") == F.col("o_e")) & (F.col("label") != F.col("o_label")) & _size_fits("n", "o_n", num, den) & may)
+    return met.select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct()
+
+
+def _links_across(spark: SparkSession, led: DataFrame, labels: DataFrame, links: DataFrame, read_sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """Labels after the links that lists still open at ``labels`` hold are added to ``links``."""
+    open_lists = materialize(spark, _mixed(_labelled(led, labels), "value"), "mixed")
+    sets = materialize(spark, read_sets(open_lists.select("node")), "sets")
+    able = _mixed(_able(open_lists, sets, num, den), "value")
+    heads = open_lists.where("node = h").select(F.col("h").alias("_h"), F.col("label").alias("_of")).distinct()
+    members = able.join(heads, F.col("h") == F.col("_h")).select("node", "n", "h", "hn", (F.col("label") == F.col("_of")).alias("inside")).distinct()
+    lists = _difference_lists(spark, materialize(spark, members.where("node <> h"), "members"), sets, num, den)
+
+    def first_pairs(rows: DataFrame) -> DataFrame:
+        """Each list's largest node against the others."""
+        best = rows.groupBy("h", "e").agg(F.max_by(F.struct("node", "n", "label", "d", "s", "p"), F.struct("n", "node")).alias("x")).select("h", "e", "x.*")
+        return _meets(rows, best, num, den)
+
+    def all_pairs(rows: DataFrame) -> DataFrame:
+        outside = rows.where("not inside")
+        near = outside.where("near")
+        return _meets(outside, rows.where("inside"), num, den).union(_meets(near, near, num, den)).distinct()
+
+    tried = None
+    for propose in (first_pairs, all_pairs):
+        rows = _mixed(_labelled(lists, labels), "h", "e")
+        pairs = propose(rows)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        tried = materialize(spark, pairs, "across")
+        more = materialize(spark, _confirmed(tried, sets, num, den), "more")
+        if more.take(1):
+            links = links.union(more)
+            labels = components(spark, links)
+    return labels
+
+
+def _homes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, k: int, slack: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, rid, n_shingles, node`` for every row, and ``node, component_id, label`` for every node."""
     ensure_importable(spark)
-    num, den = numerator, denominator
-    rows = materialize(spark, sketches(docs, id_col, text_col, width, k), "sketches")
+    rows = materialize(spark, sketches(docs, id_col, text_col, width, k), "sketches", outer=True)
     filled = rows.where("n_shingles > 0")
     classes = materialize(spark, filled.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("rid").alias("rid"), F.min("doc_id").alias("least")), "classes")
     listed = materialize(spark, _listed(classes, k, num, den, slack), "lists")
 
+    def read_sets(nodes: DataFrame) -> DataFrame:
+        return _full_sets(docs, _wanted(spark, nodes, classes), id_col, text_col, width)
+
     heads = listed.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("head"), F.count("*").alias("c")).where("c > 1").select(F.col("value").alias("_v"), F.col("head.node").alias("h"), F.col("head.n").alias("hn"))
     led = materialize(spark, listed.join(heads, listed["value"] == heads["_v"]).select("value", "node", "n", "h", "hn"), "led")
     stars = led.where((F.col("node") != F.col("h")) & _size_fits("n", "hn", num, den)).select(F.greatest("node", "h").alias("a"), F.least("node", "h").alias("b")).distinct()
-    first = materialize(spark, _estimated(stars, classes, k, num, den, slack), "stars")
-    unsure = first.where("not sure")
-    wanted = _wanted(spark, unsure.select(F.col("a").alias("node")).union(unsure.select("b")), classes)
-    tried = _checked(spark, first, materialize(spark, _full_sets(docs, wanted, id_col, text_col, width), "sets"), num, den)
-    links = tried.where("linked").select("a", "b")
-    labels = components(spark, links)
-
-    marked = led.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("value", "node", "n", "h", "hn", F.coalesce("label", "node").alias("label"))
-    mixed = marked.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("value").alias("_v"))
-    open_lists = materialize(spark, marked.join(mixed, F.col("value") == F.col("_v")).drop("_v"), "mixed")
-    sets = materialize(spark, _full_sets(docs, _wanted(spark, open_lists.select("node"), classes), id_col, text_col, width), "sets")
-    second = materialize(spark, _estimated(_open_pairs(spark, open_lists, sets, tried, num, den), classes, k, num, den, slack), "across")
-    more = _checked(spark, second, sets, num, den).where("linked").select("a", "b")
-    if more.take(1):
-        labels = components(spark, links.union(more))
-
-    homes = classes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    named = homes.groupBy("label").agg(F.min("least").alias("component_id")).select(F.col("label").alias("_l"), "component_id")
-    homes = homes.join(named, F.col("label") == F.col("_l")).select(F.col("node").alias("_n"), "component_id")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(homes, F.col("node") == F.col("_n"), "left")
+    pairs = materialize(spark, _estimated(materialize(spark, stars, "stars"), classes, k, num, den, slack), "pairs")
+    unsure = pairs.where("not sure")
+    sets = read_sets(unsure.select(F.col("a").alias("node")).union(unsure.select("b")))
+    confirmed = _confirmed(unsure.select("a", "b"), materialize(spark, sets, "sets"), num, den)
+    links = materialize(spark, confirmed.union(pairs.where("sure").select("a", "b")), "links")
+    labels = _links_across(spark, led, components(spark, links), links, read_sets, num, den)
+
+    homes = _labelled(classes.select("node", "least"), labels)
+    named = homes.groupBy("label").agg(F.min("least").alias("component_id")).select(F.col("label").alias("_of"), "component_id")
+    homes = homes.join(named, F.col("label") == F.col("_of")).select("node", "component_id", "label")
+    return rows.select("doc_id", "rid", "n_shingles", "node"), materialize(spark, homes, "homes", outer=True)
+
+
+def near_duplicate_groups(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, k: int = SKETCH, slack: float = SLACK
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs``.
+
+    Documents link if 100 * |A and B| >= 85 * |A or B| (``numerator`` and ``denominator``). component_id is the
+    smallest doc_id reachable; kept marks the row that carries it. Null, empty and blank texts have an empty set and
+    link with nothing. Rows with a null id take part and never name a component. Repeated rows share their component;
+    each that carries the smallest id is kept. Other columns of ``docs`` are ignored, whatever their names.
+    """
+    with temporary(spark):
+        rows, homes = _homes(spark, docs, id_col, text_col, width, numerator, denominator, k, slack)
+    out = rows.withColumn("_node", F.when(F.col("n_shingles") > 0, F.col("node"))).join(homes.select(F.col("node").alias("_n"), "component_id"), F.col("_node") == F.col("_n"), "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
-def without_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; a document without words stays.
+def without_near_duplicates(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, k: int = SKETCH, slack: float = SLACK
+) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: one of the smallest id, null ids last.
 
-    Rows that repeat a kept document's id are the same document and stay out. Rows with a null id cannot be told
-    apart and stay unless their group has a document with an id.
+    Rows are told apart by id and text, so a null or repeated id makes no other text go. Rows without words stay, all
+    of them. Rows that repeat the kept one in id and text go too, whatever else they hold.
     """
-    groups = materialize(spark, near_duplicate_groups(spark, docs, id_col, text_col, **options), "groups")
-    gone = groups.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    if groups.where("kept").groupBy("doc_id").count().where("count > 1").take(1):
-        kept = kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
-    return kept
+    with temporary(spark):
+        with temporary(spark):
+            rows, homes = _homes(spark, docs, id_col, text_col, width, numerator, denominator, k, slack)
+        placed = rows.where("n_shingles > 0").join(homes.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"))
+        kept = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid")).alias("of")).select(F.col("label").alias("_of"), F.col("of.rid").alias("stays"))
+        judged = placed.join(kept, F.col("label") == F.col("_of"))
+        gone = materialize(spark, judged.where("rid <> stays").select("rid").distinct(), "gone", outer=True)
+        again = materialize(spark, judged.where("rid = stays").groupBy("rid").count().where("count > 1").select("rid"), "again", outer=True)
+    keyed = docs.select(F.struct("*").alias("_doc"), _row_id(id_col, text_col).alias("rid"))
+    left = _with_ids(keyed, gone, "rid", "left_anti")
+    if again.take(1):
+        left = _with_ids(left, again, "rid", "left_anti").unionByName(_with_ids(left, again, "rid", "left_semi").dropDuplicates(["rid"]))
+    return left.select("_doc.*")
