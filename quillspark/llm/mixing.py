@@ -6,7 +6,8 @@ hold all that smaller ones take. A threshold is found by histograms: sizes are s
 bucket that the budget ends in is found, and only that bucket is split again, until one hash value is left. Documents
 are then filtered by comparing hashes; nothing is sorted, and the same rows give the same mix on any cluster.
 
-The driver holds one row for each source (at most ``MAX_SOURCES``, else an error), never rows of documents.
+The driver holds one row for each source (at most ``MAX_SOURCES``, else an error), never rows of documents. Tables with a
+row a source are broadcast up to ``BROADCAST_SOURCES``, so that a large source is not gathered by its key.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, temporary
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_PASSES = 2
 #: Hex digits of the hash used, and bits resolved by each histogram.
 HASH_DIGITS, LEVEL_BITS = 13, (13, 13, 13, 13)
-MAX_SOURCES = 1_000_000
+MAX_SOURCES, BROADCAST_SOURCES = 1_000_000, 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -53,6 +54,11 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     return out
 
 
+def _by_source(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_SOURCES else df
+
+
 def plan_mix(spark: SparkSession, slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_PASSES) -> DataFrame:
     """``source, source_size, target, passes, threshold`` for the sources of ``slim`` (source, size, h).
 
@@ -75,7 +81,7 @@ def plan_mix(spark: SparkSession, slim: DataFrame, weights: tuple[int, ...] = WE
     for bits in LEVEL_BITS:
         if not live:
             break
-        marks = spark.createDataFrame([(found[i]["source"], i, prefix[i], below[i], budget[i]) for i in sorted(live)], "_s string, i int, prefix long, below long, budget double")
+        marks = _by_source(spark, [(found[i]["source"], i, prefix[i], below[i], budget[i]) for i in sorted(live)], "_s string, i int, prefix long, below long, budget double")
         shift = top - done - bits
         inside = slim.join(marks, F.col("source").eqNullSafe(F.col("_s"))).where(F.shiftright("h", top - done) == F.col("prefix"))
         sums = inside.groupBy("i", "below", "budget", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("n"))
@@ -96,7 +102,7 @@ def plan_mix(spark: SparkSession, slim: DataFrame, weights: tuple[int, ...] = WE
         else:  # the last hash value is taken if that comes nearer to the budget
             threshold = prefix[i] + (1 if 2 * below[i] + last[i] <= 2 * budget[i] else 0)
         rows.append((r["source"], sizes[i], float(goal[i]), passes[i], threshold))
-    return spark.createDataFrame(rows, schema)
+    return _by_source(spark, rows, schema)
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -121,8 +127,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` as the mix takes them: left out, once, or repeated; texts move through no shuffle."""
-    plan = plan_mix(spark, materialize(spark, _slim(docs, id_col, text_col, source_col).select("source", "size", "h"), "sizes"), **options)
+    """``docs`` as the mix takes them: left out, once, or repeated; texts move through no shuffle.
+
+    Rows of a null id or source are mixed as others are, and so are null and empty texts, whose size is 0. Rows that
+    share an id are taken or left together. An empty table stays empty.
+    """
+    with temporary(spark):
+        plan = plan_mix(spark, materialize(spark, _slim(docs, id_col, text_col, source_col).select("source", "size", "h"), "sizes"), **options)
     plan = plan.select(F.col("source").alias("_mix_source"), "passes", "threshold")
     kept = docs.select(F.struct("*").alias("_doc"), F.col(source_col).cast("string").alias("_of"), id_hash(F.col(id_col)).alias("h"))
     kept = kept.join(plan, F.col("_of").eqNullSafe(F.col("_mix_source"))).withColumn("_times", _times()).where("_times > 0")

@@ -177,10 +177,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return met.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
-def _wanted(spark: SparkSession, nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    return materialize(spark, _with_ids(classes.select("node", "rid"), nodes.distinct(), "node", "left_semi"), "wanted")
-
-
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` with the ``label`` of their ``node``; a node without links is its own."""
     return rows.join(labels.select(F.col("node").alias("_n"), F.col("label").alias("_l")), F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("_l", "node")).drop("_n", "_l")
@@ -269,14 +265,8 @@ def _links_across(spark: SparkSession, led: DataFrame, labels: DataFrame, links:
         near = outside.where("near")
         return _meets(outside, rows.where("inside"), num, den).union(_meets(near, near, num, den)).distinct()
 
-    tried = None
     for propose in (first_pairs, all_pairs):
-        rows = _mixed(_labelled(lists, labels), "h", "e")
-        pairs = propose(rows)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tried = materialize(spark, pairs, "across")
-        more = materialize(spark, _confirmed(tried, sets, num, den), "more")
+        more = materialize(spark, _confirmed(propose(_mixed(_labelled(lists, labels), "h", "e")), sets, num, den), "more")
         if more.take(1):
             links = links.union(more)
             labels = components(spark, links)
@@ -292,7 +282,7 @@ def _homes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, wid
     listed = materialize(spark, _listed(classes, k, num, den, slack), "lists")
 
     def read_sets(nodes: DataFrame) -> DataFrame:
-        return _full_sets(docs, _wanted(spark, nodes, classes), id_col, text_col, width)
+        return _full_sets(docs, _with_ids(classes.select("node", "rid"), nodes.distinct(), "node", "left_semi"), id_col, text_col, width)
 
     heads = listed.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("head"), F.count("*").alias("c")).where("c > 1").select(F.col("value").alias("_v"), F.col("head.node").alias("h"), F.col("head.n").alias("hn"))
     led = materialize(spark, listed.join(heads, listed["value"] == heads["_v"]).select("value", "node", "n", "h", "hn"), "led")

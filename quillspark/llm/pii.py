@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, temporary
 
 BASE = ("email", "ip", "card", "phone")
 FURTHER = ("mailto", "idnum", "secret")
@@ -228,7 +228,8 @@ def redacted(spark: SparkSession, docs: DataFrame, text_col: str = "text", chars
     Rows without spans come back as they were, null texts too.
     """
     columns = docs.columns
-    chances = verdicts(materialize(spark, candidates(docs, text_col).drop("text"), "votes"))
+    with temporary(spark):
+        chances = verdicts(materialize(spark, candidates(docs, text_col).drop("text"), "votes"))
     found = candidates(docs, text_col, tuple(columns))
     ordered = F.array_sort(F.transform(_spans(chances), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["kind"].alias("kind"))))
     merged = F.expr("""aggregate(_ordered, struct(0L as pos, '' as made), (a, m) -> case when m.s >= a.pos
