@@ -73,7 +73,7 @@ def fragment_outputs(rows: DataFrame, fragments: dict[str, str], col: str = "tex
 
 def after_translation(role: Column, c: Column) -> Column:
     """List items after the first begin a new line in roles that hold lists."""
-    split = F.regexp_replace(T.text(c), r"(?<=\S)\s*(?=(?:Q[2-9]|[2-9])[.、:：])", "\n")
+    split = F.regexp_replace(F.regexp_replace(T.text(c), r"\s+(Q[2-9]\s*[:：.])", "\n$1"), r"\s+([2-9][.)]\s+)", "\n$1")
     return F.when(T.text(role).isin("question_list", "list_item", "numbered_list"), split).otherwise(T.text(c))
 
 
@@ -82,8 +82,8 @@ def after_translation(role: Column, c: Column) -> Column:
 
 def unwrapped(c: Column) -> Column:
     """Without json tags and code fences."""
-    s = F.regexp_replace(F.trim(T.text(c)), r"^\s*<json>|</json>\s*$", "")
-    return F.trim(F.regexp_replace(F.trim(s), r"^```(?:json)?|```$", ""))
+    s = F.regexp_replace(T.strip(c), r"^<json>|</json>$", "")
+    return T.strip(F.regexp_replace(T.strip(s), r"^```(?:json)?|```$", ""))
 
 
 def as_json_array(raw: str | None) -> str:

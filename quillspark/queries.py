@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import align, blocks, events, quality, spans, terms
-from .runtime import prepare
+from .registry import ORACLE_SQL, QUERIES, query, table
 from .sources import readers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _LINES = r"(SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
@@ -398,3 +377,6 @@ def bucket_caps(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     w = W.partitionBy("event_type").orderBy("event_id")
     return e.withColumn("n", F.row_number().over(w)).where("n <= 20").select("user_id", F.col("event_type").alias("bucket"), "event_id")
+
+
+from . import text_queries  # noqa: E402, F401  (registers its queries)
