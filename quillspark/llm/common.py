@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Bytes of text handled at once; a single longer text is handled alone.
 CHUNK_BYTES = 1 << 19
 #: Bytes of rows sent to or from Python at once; a single longer row is sent alone.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES, ARROW_DEFAULT = 4 << 20, f"{64 << 20}b"
 
 _own_scratch: list[str] = []
 
@@ -30,8 +30,7 @@ _own_scratch: list[str] = []
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers of a local session import this package from where it lies, and keep Arrow batches small, so
     that long texts don't fill executors: a batch is held several times over, by the JVM and by the worker."""
-    have = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "")
-    if not have.rstrip("b").isdigit() or int(have.rstrip("b")) > ARROW_BYTES:
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_DEFAULT) == ARROW_DEFAULT:  # set by nobody
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
