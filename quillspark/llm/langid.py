@@ -10,9 +10,9 @@ weights is therefore folded once into one vocabulary-by-languages matrix, and a
 matrix product of its presence rows with that matrix.
 
 Training is bounded by parameters: ``LANDMARKS`` and ``TRAIN`` texts a language, chosen by the smallest hashes of their
-ids, each read in a window of ``TRAIN_CHARS`` characters that begins at a place drawn by that hash. Every language is
-learned; the driver holds that much for each, so more than ``MAX_LANGUAGES`` are an error. Scoring reads every whole
-text.
+ids, each read in a window of ``TRAIN_CHARS`` characters that begins at a place drawn by that hash; with many languages
+each has fewer landmarks, ``ALL_LANDMARKS`` in all (two at least). Every language is learned; the driver holds that much
+for each, so more than ``MAX_LANGUAGES`` are an error. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from .common import ensure_importable
 MAX_N = 4
 LANDMARKS, TRAIN, TRAIN_CHARS = 64, 400, 4000
 RIDGE = 0.05
-#: Beyond so many distinct languages training stops with an error.
-MAX_LANGUAGES = 500
+#: Landmarks of all languages together; and the languages beyond which training stops with an error.
+ALL_LANDMARKS, MAX_LANGUAGES = 512, 256
 UNDETERMINED = "und"
 #: Slots of the table from n-gram hashes to the vocabulary.
 SLOTS = 1 << 21
@@ -135,13 +135,17 @@ def fit(landmarks: list[str], texts: list[str], labels: list[str], ridge: float
 
     def normed(block: list[str]) -> np.ndarray:
         p, _ = _presence(grams, slot, width, block)
-        return p / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+        p /= np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+        return p
 
-    marks = normed(landmarks).astype(np.float64)
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    def blocks(all_: list[str]) -> list[list[str]]:
+        return [all_[i : i + BLOCK_ROWS] for i in range(0, len(all_), BLOCK_ROWS)]
+
+    marks = normed(landmarks)
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-8 * max(values.max(initial=0), 1e-300)
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = np.concatenate([normed(texts[i : i + 256]).astype(np.float64) @ marks.T for i in range(0, len(texts), 256)]) @ root
+    phi = np.concatenate([normed(b) @ marks.T for b in blocks(texts)]).astype(np.float64) @ root
     y = np.array([[1.0 if x == c else 0.0 for c in languages] for x in labels])
     # Each language weighs the same, whatever its number of texts.
     weight = (1 / y.sum(axis=0))[[languages.index(x) for x in labels]]
@@ -151,7 +155,7 @@ def fit(landmarks: list[str], texts: list[str], labels: list[str], ridge: float
     x = phi - mean
     gram = x.T @ (weight[:, None] * x) + ridge * len(texts) * np.eye(x.shape[1]) * 1e-2
     ridge_weights = np.linalg.solve(gram, x.T @ (weight[:, None] * (y - base)))
-    return Model(languages, slot, (marks.T @ (root @ ridge_weights)).astype(np.float32), (base - mean @ ridge_weights).astype(np.float32))
+    return Model(languages, slot, marks.T @ (root @ ridge_weights).astype(np.float32), (base - mean @ ridge_weights).astype(np.float32))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", landmarks: int = LANDMARKS, per_language: int = TRAIN) -> Model | None:
@@ -165,6 +169,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return None
+    landmarks = max(2, min(landmarks, ALL_LANDMARKS // len(counts)))
     need = landmarks + per_language
     top = 1 << 40
     share = known.sparkSession.createDataFrame([(c, top if n <= 2 * need + 200 else int(top * (2 * need + 200) / n)) for c, n in sorted(counts.items())], "_lang string, _upto long")

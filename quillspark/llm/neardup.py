@@ -246,8 +246,8 @@ def _meets(rows: DataFrame, others: DataFrame, num: int, den: int) -> DataFrame:
     return met.select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b")).distinct()
 
 
-def _links_across(spark: SparkSession, led: DataFrame, labels: DataFrame, links: DataFrame, read_sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """Labels after the links that lists still open at ``labels`` hold are added to ``links``."""
+def _links_across(spark: SparkSession, led: DataFrame, labels: DataFrame, read_sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """``labels`` after the links that lists still open at them hold."""
     open_lists = materialize(spark, _mixed(_labelled(led, labels), "value"), "mixed")
     sets = materialize(spark, read_sets(open_lists.select("node")), "sets")
     able = _mixed(_able(open_lists, sets, num, den), "value")
@@ -256,7 +256,7 @@ def _links_across(spark: SparkSession, led: DataFrame, labels: DataFrame, links:
     lists = _difference_lists(spark, materialize(spark, members.where("node <> h"), "members"), sets, num, den)
 
     def first_pairs(rows: DataFrame) -> DataFrame:
-        """Each list's largest node against the others."""
+        """Each list's largest node against the others: linear, and joins most of what links."""
         best = rows.groupBy("h", "e").agg(F.max_by(F.struct("node", "n", "label", "d", "s", "p"), F.struct("n", "node")).alias("x")).select("h", "e", "x.*")
         return _meets(rows, best, num, den)
 
@@ -265,12 +265,31 @@ def _links_across(spark: SparkSession, led: DataFrame, labels: DataFrame, links:
         near = outside.where("near")
         return _meets(outside, rows.where("inside"), num, den).union(_meets(near, near, num, den)).distinct()
 
-    for propose in (first_pairs, all_pairs):
-        more = materialize(spark, _confirmed(propose(_mixed(_labelled(lists, labels), "h", "e")), sets, num, den), "more")
-        if more.take(1):
-            links = links.union(more)
-            labels = components(spark, links)
-    return labels
+    rows = _mixed(_labelled(lists, labels), "h", "e")
+    near = materialize(spark, _confirmed(first_pairs(rows), sets, num, den), "near")
+    # The first links are followed for one step only: what they leave apart is proposed, and perhaps found linked, again.
+    steps = _label_edges(near, labels)
+    down = steps.union(steps.select("b", "a")).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("_was"), F.least("a", "b").alias("_now"))
+    moved = rows.join(down, F.col("label") == F.col("_was"), "left").withColumn("label", F.coalesce("_now", "label")).drop("_was", "_now")
+    far = materialize(spark, _confirmed(all_pairs(_mixed(moved, "h", "e")), sets, num, den), "far")
+    return _joined(spark, labels, near.union(far))
+
+
+def _label_edges(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``a, b``: the labels that links join, where they differ."""
+    left = _labelled(links.withColumnRenamed("a", "node"), labels).select(F.col("label").alias("a"), F.col("b").alias("node"))
+    return _labelled(left, labels).select("a", F.col("label").alias("b")).where("a <> b").distinct()
+
+
+def _joined(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` after more links: components of the labels, of which there are few."""
+    edges = materialize(spark, _label_edges(links, labels), "joins")
+    if not edges.take(1):
+        return labels
+    made = components(spark, edges).select(F.col("node").alias("_was"), F.col("label").alias("_now"))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    every = labels.union(_labelled(ends, labels).select("node", "label")).distinct()
+    return every.join(made, F.col("label") == F.col("_was"), "left").select("node", F.coalesce("_now", "label").alias("label"))
 
 
 def _homes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, k: int, slack: float) -> tuple[DataFrame, DataFrame]:
@@ -291,8 +310,8 @@ def _homes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, wid
     unsure = pairs.where("not sure")
     sets = read_sets(unsure.select(F.col("a").alias("node")).union(unsure.select("b")))
     confirmed = _confirmed(unsure.select("a", "b"), materialize(spark, sets, "sets"), num, den)
-    links = materialize(spark, confirmed.union(pairs.where("sure").select("a", "b")), "links")
-    labels = _links_across(spark, led, components(spark, links), links, read_sets, num, den)
+    links = confirmed.union(pairs.where("sure").select("a", "b"))
+    labels = _links_across(spark, led, components(spark, links), read_sets, num, den)
 
     homes = _labelled(classes.select("node", "least"), labels)
     named = homes.groupBy("label").agg(F.min("least").alias("component_id")).select(F.col("label").alias("_of"), "component_id")
