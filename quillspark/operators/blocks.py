@@ -78,7 +78,7 @@ def split_noise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = F.regexp_replace(F.array_join(F.transform("b", lambda x: x["line"]), "\n"), r"\n{4,}", "\n\n\n")
     order = W.partitionBy("doc_id").orderBy("pos")
     noise = judged.where("noise_reason <> ''").withColumn("n", F.row_number().over(order)).withColumn("text", T.collapse(F.col("line")))
-    return body.select("doc_id", F.trim(joined).alias("text")), noise.select("doc_id", F.format_string("metadata-%04d", "n").alias("metadata_id"), "page", "noise_reason", "text", F.length("text").alias("char_count"))
+    return body.select("doc_id", T.strip(joined).alias("text")), noise.select("doc_id", F.format_string("metadata-%04d", "n").alias("metadata_id"), "page", "noise_reason", "text", F.length("text").alias("char_count"))
 
 
 def sections(blocks: DataFrame, limit: int = 180) -> DataFrame:

@@ -320,5 +320,6 @@ def normalize_finding(findings: DataFrame) -> DataFrame:
     s, m = F.lower(T.text("severity")), F.lower(T.text("message"))
     severity = F.when(s.isin("blocking", "critical", "error", "high", "p0"), "blocking").when(s.isin("warn", "warning", "medium", "p1"), "warn").otherwise("info")
     stage = F.when(m.rlike("font|size|overlap|layout|position"), "layout").when(m.rlike("translat|residue|english"), "translation").when(m.rlike("missing|dropped|blank"), "writeback").otherwise("unknown")
-    page = F.coalesce(F.col("page").cast("int"), F.expr("try_cast(regexp_extract(coalesce(message, ''), '第\\\\s*(\\\\d+)\\\\s*页|p\\\\.\\\\s*(\\\\d+)', 1) as int)"))
+    said = [F.regexp_extract(T.text("message"), p, 1).try_cast("int") for p in (r"第\s*(\d+)\s*页", r"p\.\s*(\d+)")]
+    page = F.coalesce(F.col("page").cast("int"), *said)
     return findings.withColumn("severity", severity).withColumn("stage", stage).withColumn("page", page)

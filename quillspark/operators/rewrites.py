@@ -74,7 +74,7 @@ def fragment_outputs(rows: DataFrame, fragments: dict[str, str], col: str = "tex
 def after_translation(role: Column, c: Column) -> Column:
     """List items after the first begin a new line in roles that hold lists."""
     split = F.regexp_replace(F.regexp_replace(T.text(c), r"\s+(Q[2-9]\s*[:：.])", "\n$1"), r"\s+([2-9][.)]\s+)", "\n$1")
-    return F.when(T.text(role).isin("question_list", "list_item", "numbered_list"), split).otherwise(T.text(c))
+    return F.when(T.text(role).isin("question_list", "list_item", "numbered_list"), T.strip(split)).otherwise(T.text(c))
 
 
 # --- model output ---------------------------------------------------------------------------------

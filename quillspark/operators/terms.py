@@ -138,6 +138,16 @@ def check_protected(pairs: DataFrame, spans: DataFrame, strict: tuple[str, ...]
     return lost.select("block_id", "kind", "value", F.when(F.col("kind").isin("url", "doi", "citation"), "high").otherwise("medium").alias("severity"))
 
 
+# A pattern of the source, the wording that its translation must not have, the severity, and the term.
+BAD_ACRONYMS = ((r"\bLLMs?\b", "法学硕士", "high", "LLM"), ("Literature Review", "文学评论", "medium", "Literature Review"))
+
+
+def check_acronyms(pairs: DataFrame) -> DataFrame:
+    """``block_id, severity, term`` where an abbreviation or term took a wording that other fields use."""
+    found = F.array(*[F.when(T.text("source").rlike(s) & T.text("translation").contains(t), F.struct(F.lit(level).alias("severity"), F.lit(term).alias("term"))) for s, t, level, term in BAD_ACRONYMS])
+    return pairs.select("block_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("block_id", "x.severity", "x.term")
+
+
 def restore_protected(pairs: DataFrame, lost: DataFrame) -> DataFrame:
     add = lost.groupBy("block_id").agg(F.array_join(F.array_sort(F.collect_set("value")), " ").alias("_add"))
     return pairs.join(add, "block_id", "left").withColumn("translation", F.concat_ws(" ", F.nullif(T.text("translation"), F.lit("")), "_add")).drop("_add")

@@ -379,4 +379,4 @@ def bucket_caps(spark, sf_dir):
     return e.withColumn("n", F.row_number().over(w)).where("n <= 20").select("user_id", F.col("event_type").alias("bucket"), "event_id")
 
 
-from . import text_queries  # noqa: E402, F401  (registers its queries)
+from . import block_queries, box_queries, quality_queries, text_queries  # noqa: E402, F401  (they register their queries)

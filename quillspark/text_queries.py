@@ -45,6 +45,19 @@ def words(x: str, least: int = 2) -> str:
 
 CJK = "[\\x{4e00}-\\x{9fff}]"
 
+
+def english(x: str) -> str:
+    prose = r"(?i)(?:^|[^A-Za-z0-9_])(?:the|this|that|these|those|we|our|agent|agents|method|methods|model|models|task|tasks|learn|learning|memory|performance|trajectory|trajectories)(?:[^A-Za-z0-9_]|$)"
+    return f"({n_of(x, '[A-Za-z]')} >= 18 AND ({has(x, prose)} OR {has(x, r'[A-Za-z]{4,}(?:[\s,;:()\\/-]+[A-Za-z]{4,}){3,}')}))"
+
+
+def shown(x: str) -> str:
+    """Whether a line may stay as it is."""
+    s, n = collapsed(x), normal(x)
+    person = r"^(?:[A-Z][A-Za-z'’.-]+|[A-Z]{2,})(?:\s+(?:and\s+)?(?:[A-Z][A-Za-z'’.-]+|[A-Z]{2,})){0,7}$"
+    patterns = (r"(?i)^(?:https?://\S+|\S+@\S+)$", r"(?i)\barxiv\s*:\s*\d{4}\.\d{4,5}v?\d*\b", r"\b\d{4}\.\d{4,5}v\d+\s*\[[^\]]+\]\s*\d{1,2}\s+[A-Z][a-z]{2}\s+\d{4}\b", person, T.INSTITUTIONS, r"^[A-Z][A-Za-z0-9-]*(?:[,;/\s]+[A-Z][A-Za-z0-9-]*)*$")
+    return f"({s} = '' OR {' OR '.join(has(s, p) for p in patterns)} OR {n} IN ('base', 'model', 'environment', 'expert', 'memory', 'skill', 'skills', 'evolution'))"
+
 # --- made texts -------------------------------------------------------------------------------------
 
 MIXED = (
@@ -220,12 +233,7 @@ def partly_untranslated(spark, sf_dir):
     return cases(spark, sf_dir, "documents", "doc_id", _SOURCES, _HALVES).select("doc_id", T.partially_untranslated(F.col("s"), F.col("t")).alias("partial"))
 
 
-_PERSON = r"^(?:[A-Z][A-Za-z'’.-]+|[A-Z]{2,})(?:\s+(?:and\s+)?(?:[A-Z][A-Za-z'’.-]+|[A-Z]{2,})){0,7}$"
-
-
-@query(f"""WITH a AS (SELECT doc_id, {collapsed("s")} AS s, {normal("s")} AS n FROM {cases_sql("documents", "doc_id", MIXED)})
-SELECT doc_id, s = '' OR {has("s", r"(?i)^(?:https?://\S+|\S+@\S+)$")} OR {has("s", r"(?i)\barxiv\s*:\s*\d{4}\.\d{4,5}v?\d*\b")} OR {has("s", r"\b\d{4}\.\d{4,5}v\d+\s*\[[^\]]+\]\s*\d{1,2}\s+[A-Z][a-z]{2}\s+\d{4}\b")} OR {has("s", _PERSON)}
- OR {has("s", T.INSTITUTIONS)} OR n IN ('base', 'model', 'environment', 'expert', 'memory', 'skill', 'skills', 'evolution') OR {has("s", r"^[A-Z][A-Za-z0-9-]*(?:[,;/\s]+[A-Z][A-Za-z0-9-]*)*$")} AS protected FROM a""")
+@query(f"SELECT doc_id, {shown('s')} AS protected FROM {cases_sql('documents', 'doc_id', MIXED)}")
 def protected_lines(spark, sf_dir):
     return cases(spark, sf_dir, "documents", "doc_id", MIXED).select("doc_id", T.protected_visible(F.col("s")).alias("protected"))
 
@@ -341,7 +349,7 @@ _KEPT_ROLES = "('doi_line', 'author_line', 'reference_item', 'url_line', 'page_n
 
 @query(f"""SELECT doc_id, CASE WHEN {_passes("s")} OR coalesce(u, '') IN ('protected_or_passthrough', 'layout_role_passthrough', 'already_translated_passthrough') OR coalesce(t, '') IN {_KEPT_ROLES} THEN 'protect' ELSE 'translate' END AS behavior,
  CASE WHEN length({collapsed("s")}) <= 2 THEN 'cover_split_fragment' WHEN coalesce(t, '') IN {_KEPT_ROLES} THEN 'layout_role_passthrough'
-  WHEN coalesce({has("s", CJK)}, false) AND NOT ({n_of("coalesce(s, '')", "[A-Za-z]")} >= 18 AND (regexp_matches(coalesce(s, ''), '(?i)(?:^|[^A-Za-z0-9_])(?:the|this|that|these|those|we|our|agent|agents|method|methods|model|models|task|tasks|learn|learning|memory|performance|trajectory|trajectories)(?:[^A-Za-z0-9_]|$)') OR regexp_matches(coalesce(s, ''), '[A-Za-z]{{4,}}(?:[\\s,;:()\\\\/-]+[A-Za-z]{{4,}}){{3,}}'))) THEN 'already_translated_passthrough'
+  WHEN coalesce({has("s", CJK)}, false) AND NOT {english("coalesce(s, '')")} THEN 'already_translated_passthrough'
   WHEN {_passes("s")} THEN 'protected_or_passthrough' ELSE 'ordinary_same_as_input' END AS class FROM {cases_sql("documents", "doc_id", MIXED, _ROLES, _KINDS)}""")
 def line_behaviors(spark, sf_dir):
     c = cases(spark, sf_dir, "documents", "doc_id", MIXED, _ROLES, _KINDS)
@@ -356,7 +364,7 @@ _LABELS = ("", "title", None)
 SELECT doc_id, CASE WHEN s = '' THEN 'empty' WHEN {has("s", r"^\d{1,4}$")} THEN 'page_number' WHEN {has("s", r"(?i)^(?:https?://\S+|www\.\S+)$")} THEN 'url_line' WHEN {has("s", r"(?i)^(?:doi\s*[:.]?\s*)?(?:https?://doi\.org/)?10\.\d{4,9}/\S+$")} THEN 'doi_line' WHEN {has("s", r"^\S+@\S+\.\S+$")} THEN 'email_line'
  WHEN {has("s", r"(?i)^arxiv\s*:")} THEN 'arxiv_stamp' WHEN {has("n", r"^(?:\d+\.?\s*)?(?:references|bibliography)$")} THEN 'references_heading' WHEN refs AND {has("s", r"(?:19|20)\d{2}")} THEN 'reference_item' WHEN {has("s", r"(?i)^(?:figure|fig\.)\s*\d+")} THEN 'figure_caption' WHEN {has("s", r"(?i)^table\s*\d+")} THEN 'table_caption'
  WHEN {has("n", r"^(?:\d+(?:\.\d+)*\.?\s+)?(?:abstract|introduction|related work|methods?|methodology|experiments?|results|discussion|conclusions?)$")} THEN 'section_heading' WHEN {has("s", r"\.{4,}\s*\d+$")} THEN 'toc_row' WHEN {has("s", r"^(?:[-•*]|\(?\d{1,2}[.)])\s+\S")} THEN 'list_item' WHEN {has("s", r"^\$|\\begin\{(?:equation|align)")} THEN 'equation'
- WHEN {has("s", r"(?i)^(?:https?://\S+|\S+@\S+)$")} OR {has("s", r"(?i)\barxiv\s*:\s*\d{4}\.\d{4,5}v?\d*\b")} OR {has("s", r"\b\d{4}\.\d{4,5}v\d+\s*\[[^\]]+\]\s*\d{1,2}\s+[A-Z][a-z]{2}\s+\d{4}\b")} OR {has("s", _PERSON)} OR {has("s", T.INSTITUTIONS)} OR n IN ('base', 'model', 'environment', 'expert', 'memory', 'skill', 'skills', 'evolution') OR {has("s", r"^[A-Z][A-Za-z0-9-]*(?:[,;/\s]+[A-Z][A-Za-z0-9-]*)*$")} THEN 'protected_line'
+ WHEN {shown("s")} THEN 'protected_line'
  WHEN len(string_split(s, ' ')) >= 10 THEN 'body_prose' WHEN label <> '' THEN 'labelled' ELSE 'unknown_visible_line' END AS role FROM a""")
 def layout_roles(spark, sf_dir):
     c = cases(spark, sf_dir, "documents", "doc_id", _LINES, _LABELS)
@@ -442,7 +450,7 @@ _LISTED = ("1. 甲 2. 乙 3) 丙", "Q1: a Q2: b  Q3 ：c", "one 2、two 2.5", "
 _LIST_ROLES = ("question_list", "body", "list_item", "numbered_list")
 
 
-@query(f"""SELECT doc_id, CASE WHEN coalesce(t, '') IN ('question_list', 'list_item', 'numbered_list') THEN regexp_replace(regexp_replace(coalesce(s, ''), '\\s+(Q[2-9]\\s*[:：.])', chr(10) || '\\1', 'g'), '\\s+([2-9][.)]\\s+)', chr(10) || '\\1', 'g') ELSE coalesce(s, '') END AS text FROM {cases_sql("documents", "doc_id", _LISTED, _LIST_ROLES)}""")
+@query(f"""SELECT doc_id, CASE WHEN coalesce(t, '') IN ('question_list', 'list_item', 'numbered_list') THEN trim(regexp_replace(regexp_replace(coalesce(s, ''), '\\s+(Q[2-9]\\s*[:：.])', chr(10) || '\\1', 'g'), '\\s+([2-9][.)]\\s+)', chr(10) || '\\1', 'g')) ELSE coalesce(s, '') END AS text FROM {cases_sql("documents", "doc_id", _LISTED, _LIST_ROLES)}""")
 def list_items(spark, sf_dir):
     return cases(spark, sf_dir, "documents", "doc_id", _LISTED, _LIST_ROLES).select("doc_id", rewrites.after_translation(F.col("t"), F.col("s")).alias("text"))
 
