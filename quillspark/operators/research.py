@@ -61,7 +61,7 @@ def unknown_refs(rows: DataFrame, array_col: str, id_col: str, known: DataFrame,
 
 def string_lists(rows: DataFrame, col: str, id_col: str, key: str, allowed: tuple[str, ...] | None = None, nonempty: bool = False) -> DataFrame:
     """Findings on a list column: missing or blank items, duplicates, emptiness, values that aren't allowed."""
-    items = F.transform(F.coalesce(F.col(col), F.array().cast("array<string>")), F.trim)
+    items = F.transform(F.coalesce(F.col(col), F.array().cast("array<string>")), lambda x: F.trim(x))  # F.trim itself would take the place as its second argument
     bad = F.col(col).isNull() | F.exists(F.coalesce(F.col(col), F.array().cast("array<string>")), lambda x: x.isNull() | (F.trim(x) == ""))
     good = rows.where(~bad).withColumn("_items", items)
     parts = [finding(rows.where(bad), key, id_col), finding(good.where(F.size("_items") != F.size(F.array_distinct("_items"))), f"{key}_duplicate", id_col)]

@@ -103,7 +103,12 @@ def section_rollup(spark, sf_dir):
     return blocks.sections(blocks.build_blocks(table(spark, sf_dir, "documents")))
 
 
-@query()
+_BREAK = "p|br|div|section|article|h1|h2|h3|li|tr"
+
+
+@query(rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>', ' ', 'g'), '(?s)<!--.*?-->|<!\[?[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), '(?i)<(?:{_BREAK})(?:\s[^>]*)?/?>|</(?:p|div|section|article|h1|h2|h3|li|tr)\s*>', chr(10), 'g') AS h FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(h, '</?[A-Za-z][^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h FROM a)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b""")
 def html_visible_text(spark, sf_dir):
     return readers.html_text(table(spark, sf_dir, "pages"))
 
@@ -325,7 +330,9 @@ def _runs(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("pos"), F.expr(_INTENTS).alias("intent"))
 
 
-@query()
+@query(f"""WITH RECURSIVE t(state, intent, next, status) AS (VALUES {", ".join(str(x) for x in events.TRANSITIONS)}), e AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, {_INTENTS} AS intent FROM events),
+r AS (SELECT DISTINCT run_id, 0::BIGINT AS n, 'intake' AS state, 'active' AS status, 0::BIGINT AS moves, 0::BIGINT AS refused FROM e UNION ALL SELECT e.run_id, e.n, coalesce(t.next, r.state), coalesce(t.status, r.status), r.moves + (t.next IS NOT NULL)::BIGINT, r.refused + (t.next IS NULL)::BIGINT FROM r JOIN e ON e.run_id = r.run_id AND e.n = r.n + 1 LEFT JOIN t ON t.state = r.state AND t.intent = e.intent)
+SELECT run_id, state, status, moves, refused FROM r QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC) = 1""")
 def state_machine(spark, sf_dir):
     return events.run_states_native(_runs(spark, sf_dir))
 
@@ -379,4 +386,4 @@ def bucket_caps(spark, sf_dir):
     return e.withColumn("n", F.row_number().over(w)).where("n <= 20").select("user_id", F.col("event_type").alias("bucket"), "event_id")
 
 
-from . import block_queries, box_queries, quality_queries, text_queries  # noqa: E402, F401  (they register their queries)
+from . import block_queries, box_queries, quality_queries, record_queries, text_queries  # noqa: E402, F401  (they register their queries)
