@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.search(spark, _table(spark, sf_dir, "embeddings"))
+    return ann.search(spark, _table(spark, sf_dir, "embeddings"), each_row=True)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,6 +235,54 @@ def test_search_with_repeated_ids(spark):
     assert got == want
 
 
+def test_search_of_each_row(spark):
+    """With ``each_row``, rows that repeat an id or a vector are candidates and queries of their own."""
+    rng = np.random.default_rng(12)
+    once = [(i, rng.normal(size=6).tolist()) for i in range(80)]
+    rows = once + once[50:51] * 2 + [(50, rng.normal(size=6).tolist())] + [(9, once[3][1])] * 3
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    want = Counter()
+    for k, (q, _) in enumerate(rows):
+        if q % 50 == 0:
+            best = sorted((-round(float(unit[k] @ unit[j]), 9), rows[j][0]) for j in range(len(rows)) if j != k)[:5]
+            want.update((q, r, i, -s) for r, (s, i) in enumerate(best, 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("x")).withColumn("block", F.lit(2)).repartition(3)
+    got = ann.search(spark, df, visit=1.0, each_row=True).collect()
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == want
+
+
+@pytest.mark.parametrize("spread", [0.05, 5.0])
+def test_recall_at_the_measured_share(spark, spread):
+    """The share is measured: small where vectors cluster, large where they don't, and recall holds in both."""
+    rng = np.random.default_rng(15)
+    centres = rng.normal(size=(60, 16))
+    x = centres[np.arange(9000) % 60] + spread * rng.normal(size=(9000, 16))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(spark, df, sample=2000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 9000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 900
+
+
+def test_share_falls_as_the_table_grows():
+    rng = np.random.default_rng(16)
+    u = rng.normal(size=(3000, 16))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    books = [ann.kmeans(u[:, :8], 24), ann.kmeans(u[:, 8:], 24)]
+    shares = [ann.visit_share(u, books, n) for n in (3000, 30_000, 3_000_000)]
+    assert 1 > shares[0] >= shares[1] >= shares[2] > 0
+    tight = np.repeat(u[:30], 100, axis=0) + 1e-3 * rng.normal(size=(3000, 16))
+    tight /= np.linalg.norm(tight, axis=1)[:, None]
+    assert ann.visit_share(tight, [ann.kmeans(tight[:, :8], 24), ann.kmeans(tight[:, 8:], 24)], 3000) < 0.5 * shares[0]
+    assert [ann.centroids_for(n) for n in (10, 10**4, 10**6, 10**9)] == [16, 25, 250, 512]
+
+
 def test_near_copies_in_a_group_of_a_third(spark):
     """Copies with three words replaced stay alike although the terms they share are in over a tenth of rows."""
     rng = random.Random(21)
