@@ -6,7 +6,7 @@ candidate, base ones too, or abstain:
 
 * regex: does the value have the strict form of its kind?
 * gazetteer: is its lead or ending on a list (top-level domains, dialling and card prefixes, credential prefixes)?
-* context: does one of the kind's cue words stand shortly before it?
+* context: does one of the kind's cue words stand shortly before it, and after the match before it?
 
 Candidates are counted by vote pattern: kind, three votes, and two shape features with three values each. The table of
 patterns has at most ``len(KINDS) * 27 * 9`` rows whatever the corpus, so the driver can hold it: there
@@ -90,15 +90,29 @@ def _quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def _matches(kind: str) -> str:
-    """All matches of a kind in ``text`` as structs (s, e, v); offsets in code points, e exclusive."""
+def _found(kind: str) -> tuple[str, str]:
+    """All matches of a kind in ``text``, and the texts before, between and after them; both empty without its hint."""
     p = _quoted(PATTERNS[kind])
-    none = "cast(array() as array<struct<s:bigint,e:bigint,v:string>>)"
-    return f"""case when text is not null and {HINTS[kind]} then aggregate(
-        arrays_zip(regexp_extract_all(text, '{p}', 0), slice(transform(split(text, '{p}', -1), x -> cast(length(x) as bigint)), 1, size(regexp_extract_all(text, '{p}', 0)))),
-        struct(0L as pos, {none} as found),
-        (a, x) -> struct(a.pos + x.`1` + length(x.`0`) as pos, concat(a.found, array(struct(a.pos + x.`1` as s, a.pos + x.`1` + length(x.`0`) as e, x.`0` as v))) as found),
-        a -> a.found) else {none} end"""
+    none = "cast(array() as array<string>)"
+    there = f"text is not null and {HINTS[kind]}"
+    return f"case when {there} then regexp_extract_all(text, '{p}', 0) else {none} end", f"case when {there} then split(text, '{p}', -1) else {none} end"
+
+
+def _running(of: str, step: str) -> str:
+    """Running totals of an array of longs; ``step`` says how a total a takes up an element x.
+
+    A fold that appends to one array would copy it for every element, so elements are taken in runs of about the root
+    of their number: first the total before each run, then the totals within it.
+    """
+    run = f"cast(ceil(sqrt(size({of}))) as int)"
+    before = f"aggregate(slice({of}, 1, k * {run}), 0L, (a, x) -> {step.format(a='a')})"
+    within = f"(r, x) -> struct({step.format(a='r.at')} as at, concat(r.made, array({step.format(a='r.at')})) as made)"
+    none = "cast(array() as array<bigint>)"
+    runs = f"transform(sequence(0, cast((size({of}) - 1) / {run} as int)), k -> aggregate(slice({of}, k * {run} + 1, {run}), struct({before} as at, {none} as made), {within}, r -> r.made))"
+    return f"case when size({of}) = 0 then {none} else flatten({runs}) end"
+
+
+SUM, MOST = "{a} + x", "greatest({a}, x)"
 
 
 def _luhn(d: str) -> str:
@@ -118,8 +132,7 @@ _VALID = {
 
 def _vote(kind: str) -> str:
     """The pattern of a candidate m: kind, votes (1, 0, or - for none), length and digit shape."""
-    before = f"substring(text, greatest(1, cast(m.s as int) + 1 - {CONTEXT_CHARS}), least(cast(m.s as int), {CONTEXT_CHARS}))"
-    return f"""concat('{kind}:', if(m.v rlike '{STRICT[kind]}', '1', '0'), if(m.v rlike '{GAZETTEER[kind]}', '1', '-'), if({before} rlike '{CONTEXT[kind]}', '1', '-'),
+    return f"""concat('{kind}:', if(m.v rlike '{STRICT[kind]}', '1', '0'), if(m.v rlike '{GAZETTEER[kind]}', '1', '-'), if(m.c rlike '{CONTEXT[kind]}', '1', '-'),
         ':', case when length(m.v) < 12 then 's' when length(m.v) < 20 then 'm' else 'l' end,
         case when length(regexp_replace(m.v, '[^0-9]', '')) * 4 < length(m.v) then 'f' when length(regexp_replace(m.v, '[^0-9]', '')) * 4 < 3 * length(m.v) then 'h' else 'd' end)"""
 
@@ -127,8 +140,15 @@ def _vote(kind: str) -> str:
 def candidates(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns (as ``k0``, ``k1``, ...), ``text`` and one array for each kind of structs (kind, s, e, vote)."""
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
-    found = rows.select("*", *[F.expr(_matches(k)).alias(f"_{k}") for k in KINDS])
-    return found.select(*rows.columns, *[F.expr(f"transform(filter(_{k}, m -> {_VALID[k]}), m -> struct('{k}' as kind, m.s as s, m.e as e, {_vote(k)} as vote))").alias(k) for k in KINDS])
+    # One step at a time, so that each pattern runs once for the matches and once for what lies between.
+    for k in KINDS:
+        values, gaps = _found(k)
+        rows = rows.withColumns({f"_v_{k}": F.expr(values), f"_g_{k}": F.expr(gaps)})
+    rows = rows.withColumns({f"_n_{k}": F.expr(f"transform(_v_{k}, (v, i) -> cast(length(_g_{k}[i]) + length(v) as bigint))") for k in KINDS})
+    rows = rows.withColumns({f"_e_{k}": F.expr(_running(f"_n_{k}", SUM)) for k in KINDS})
+    rows = rows.withColumns({f"_{k}": F.expr(f"transform(_e_{k}, (e, i) -> struct(e - length(_v_{k}[i]) as s, e as e, _v_{k}[i] as v, right(_g_{k}[i], {CONTEXT_CHARS}) as c))") for k in KINDS})
+    found = {k: F.expr(f"transform(filter(_{k}, m -> {_VALID[k]}), m -> struct('{k}' as kind, m.s as s, m.e as e, {_vote(k)} as vote))") for k in KINDS}
+    return rows.select(*[c for c in rows.columns if not c.startswith("_")], *[c.alias(k) for k, c in found.items()])
 
 
 # --- what the driver computes from counts by pattern ----------------------------------------------
@@ -210,7 +230,7 @@ def _written(spans: Column) -> Column:
 
 
 def find_personal_data(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_further``, one row for each row of ``docs``.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_further, n_spans``, one row for each row of ``docs``.
 
     Null and empty texts have no spans: counts 0, the SHA-256 of the empty string, and an empty ``spans``. Offsets
     count code points, end exclusive. The counts and the hash cover base spans; ``spans`` adds those of the further
@@ -219,7 +239,19 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     slim = materialize(spark, candidates(docs, text_col, (id_col,)).drop("text"), "spans")
     spans = _spans(verdicts(slim))
     base = F.concat(*BASE)
-    return slim.select(F.col("k0").cast("long").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(_written(base), 256).alias("base_sha256"), _written(spans).alias("spans"), (F.size(spans) - F.size(base)).cast("long").alias("n_further"))
+    return slim.select(F.col("k0").cast("long").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(_written(base), 256).alias("base_sha256"), _written(spans).alias("spans"), (F.size(spans) - F.size(base)).cast("long").alias("n_further"), F.size(spans).cast("long").alias("n_spans"))
+
+
+#: Characters of a piece that a text is cut into when spans are replaced in it.
+PIECE = 1024
+
+
+def _between(start: str, end: str) -> str:
+    """The text from ``start`` to ``end`` (longs, code points), put together from ``_pieces``."""
+    p, q = f"cast({start} div {PIECE} as int)", f"cast({end} div {PIECE} as int)"
+    a, z = f"cast({start} % {PIECE} as int)", f"cast({end} % {PIECE} as int)"
+    head, tail = f"coalesce(get(_pieces, {p}), '')", f"coalesce(get(_pieces, {q}), '')"
+    return f"if({p} = {q}, substring({head}, {a} + 1, {z} - {a}), concat(substring({head}, {a} + 1), array_join(slice(_pieces, {p} + 2, {q} - {p} - 1), ''), substring({tail}, 1, {z})))"
 
 
 def redacted(spark: SparkSession, docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -232,10 +264,12 @@ def redacted(spark: SparkSession, docs: DataFrame, text_col: str = "text", chars
         chances = verdicts(materialize(spark, candidates(docs, text_col).drop("text"), "votes"))
     found = candidates(docs, text_col, tuple(columns))
     ordered = F.array_sort(F.transform(_spans(chances), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["kind"].alias("kind"))))
-    merged = F.expr("""aggregate(_ordered, struct(0L as pos, '' as made), (a, m) -> case when m.s >= a.pos
-        then struct(m.e as pos, concat(a.made, substring(text, cast(a.pos as int) + 1, cast(m.s - a.pos as int)), '[', upper(m.kind), ']') as made)
-        else struct(greatest(a.pos, m.e) as pos, a.made as made) end, a -> concat(a.made, substring(text, cast(a.pos as int) + 1)))""")
-    out = found.withColumn("_ordered", ordered).withColumn("_new", F.when(F.size("_ordered") > 0, merged).otherwise(F.col("text")))
+    out = found.withColumn("_ordered", ordered).withColumn("_ends", F.transform("_ordered", lambda m: m["e"])).withColumn("_most", F.expr(_running("_ends", MOST)))
+    # What lies between is taken from pieces of the text, so that no span reads the text from its beginning.
+    out = out.withColumn("_pieces", F.expr(f"case when size(_ordered) > 0 then regexp_extract_all(text, '(?s).{{1,{PIECE}}}', 0) end"))
+    before = "if(i = 0, 0L, _most[i - 1])"
+    made = F.expr(f"""array_join(transform(_ordered, (m, i) -> if(m.s < {before}, '', concat({_between(before, "m.s")}, '[', upper(m.kind), ']'))), '')""")
+    out = out.withColumn("_new", F.when(F.size("_ordered") > 0, F.concat(made, F.expr(_between("element_at(_most, -1)", "cast(length(text) as bigint)")))).otherwise(F.col("text")))
     pick = []
     for i, c in enumerate(columns):
         if c == text_col:
