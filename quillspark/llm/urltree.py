@@ -2,7 +2,7 @@
 
 Paths become templates: digits, long hexadecimal and other id-like segments turn into wildcards, and where a node of a
 host's tree still has more than ``MAX_CHILDREN`` children, these turn into one wildcard too. Pages that a rule judges
-are the labelled ones (other labels can be given). Branches under one parent that are statistically alike, that is,
+are labelled ones, and so are those that a table of labels names. Branches under one parent that are statistically alike, that is,
 whose share of allowed pages is within ``Z`` standard errors of their siblings' pooled share, are merged into one. A
 template's purity is its share of allowed among labelled pages, smoothed towards its parent's, and so on up to the
 host's and the whole table's; templates below ``REJECT_BELOW`` are blocked.
@@ -96,9 +96,12 @@ def purities(spark: SparkSession, counts: DataFrame) -> DataFrame:
     return now.select("host", "raw", "branch", "purity")
 
 
-def filter_urls(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, reject_below: float = REJECT_BELOW) -> DataFrame:
+def filter_urls(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, reject_below: float = REJECT_BELOW, labels: DataFrame | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, purity``, one row for each row of ``pages``.
 
+    ``labels`` (page_id, good: boolean) adds to what rules tell of templates; a rule comes first where a page has both,
+    and of several labels of a page any good one counts. A label doesn't judge its page, only its template.
+
     Null urls and urls without ``://`` have empty host and path, fit no rule, and share the template of the empty host.
     The longest fitting rule decides; otherwise a template whose smoothed purity is below ``reject_below`` is blocked.
     Without labelled pages everything else is allowed. Repeated rows count as often as they occur and give equal rows.
@@ -109,7 +112,12 @@ def filter_urls(spark: SparkSession, pages: DataFrame, id_col: str = "page_id",
     seen = seen.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     name, verdict = rule_for(rules)
     seen = materialize(spark, seen.withColumns({"rule": name, "judged": verdict, "raw": template_of(F.col("path"))}), "urls")
-    counts = seen.groupBy("host", "raw").agg(F.sum((F.col("judged") == "allow").cast("long")).alias("good"), F.sum((F.col("judged") == "block").cast("long")).alias("bad"))
+    good = F.col("judged") == "allow"
+    marked = seen
+    if labels is not None:
+        told = labels.where(F.col("good").isNotNull()).groupBy(F.col("page_id").alias("_page")).agg(F.max("good").alias("_good"))
+        marked, good = seen.join(told, F.col("page_id") == F.col("_page"), "left"), F.coalesce(good, F.col("_good"))
+    counts = marked.groupBy("host", "raw").agg(F.sum(good.cast("long")).alias("good"), F.sum((~good).cast("long")).alias("bad"))
     counts = counts.na.fill(0, ["good", "bad"])
     tree = purities(spark, counts).select(F.col("host").alias("_h"), F.col("raw").alias("_r"), "purity")
     out = seen.join(tree, (F.col("host") == F.col("_h")) & (F.col("raw") == F.col("_r")), "left")
