@@ -13,6 +13,7 @@ subsets of which either text holds a term.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterator
 
@@ -21,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _MULT, BYTES_FOLDED, Powers, ensure_importable, mix64, span_hashes, text_chunks
+from .common import _MULT, BYTES_FOLDED, Powers, bounded_sample, ensure_importable, mix64, span_hashes, text_chunks
 
 RARE, FREQUENT = 0.001, 0.1
 SCARCE, FEW = 8, 16
 #: One subset for each entry: it keeps one in so many terms of the lexicon.
 SUBSETS = (4, 8, 16, 16, 32, 32, 64, 64, 64, 64, 128, 128, 128, 128, 256, 256, 256, 256, 256, 512, 512, 512, 512, 512)
-BUCKET_ROWS, MAX_BUCKETS = 2000, 4096
+#: Documents of a range of ids; the ranges that tables are cut into at most; ids drawn for each to find its bounds.
+BUCKET_ROWS, MAX_BUCKETS, DRAWN = 2000, 32_768, 32
 _FLUSH = 1 << 21
 
 _TERM = np.zeros(256, bool)
@@ -166,13 +168,13 @@ def likeness(a: str, am: np.ndarray, b: str, bm: np.ndarray) -> float:
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are at most the key, by two short scans."""
+    """How many bounds are at most the key, by two short scans of constant arrays."""
     if not bounds:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    coarse = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
+    coarse = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>")
+    fine = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
     at = F.size(F.filter(coarse, lambda x: x <= key))
     inner = F.when(at > 0, F.size(F.filter(F.get(fine, at - 1), lambda x: x <= key))).otherwise(0)
     return F.when(at > 0, (at - 1) * step + inner).otherwise(0).cast("int")
@@ -186,8 +188,9 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, id_col: str = "d
     first, and rows that share an id follow each other by text. A single row is its own next. A text without known
     terms has the hash of itself as fingerprint. Other columns are ignored, whatever their names.
 
-    Documents reach their neighbour by one exchange: ids are cut into ranges at quantiles, every range is sorted, and
-    the first document of each range is also sent to the range before it.
+    Documents reach their neighbour by one exchange: ids are cut into ranges of about ``BUCKET_ROWS`` at quantiles of a
+    sample (``MAX_BUCKETS`` ranges at most; they grow beyond), every range is sorted, which may spill, and the first
+    document of each range is also sent to the range before it. Rows of one id stay in one range.
     """
     ensure_importable(spark)
     low = -(1 << 63)
@@ -195,7 +198,10 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, id_col: str = "d
     shared = spark.sparkContext.broadcast(lexicon(docs, text_col, rare, frequent))
     total = docs.count()
     buckets = max(1, min(MAX_BUCKETS, total // BUCKET_ROWS))
-    bounds = sorted({int(x) for x in base.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
+    bounds: list[int] = []
+    if buckets > 1:
+        ids = sorted(r["key"] for r in bounded_sample(base.select("key"), "key", DRAWN * buckets).collect())
+        bounds = sorted({ids[len(ids) * i // buckets] for i in range(1, buckets)})
     placed = base.withColumn("bucket", _bucket(F.col("key"), bounds))
     firsts = sorted(tuple(r) for r in placed.groupBy("bucket").agg(F.min("key")).collect())
     links = [(firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))]  # the first of all follows the last
