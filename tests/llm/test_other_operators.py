@@ -281,6 +281,84 @@ def test_templates_reject_by_purity(spark):
     assert all(got[300 + i]["verdict"] == "allow" and got[300 + i]["rule"] is None for i in range(5))
 
 
+def purities(counts):
+    """The tree by plain loops: children merged if alike, shares smoothed towards the parent's, level by level."""
+    good, bad = sum(c[2] for c in counts), sum(c[3] for c in counts)
+    prior = (good + 1) / (good + bad + 1) if good + bad else 1.0
+    out = {}
+    for host in {c[0] for c in counts}:
+        own = [c for c in counts if c[0] == host]
+        g, n = sum(c[2] for c in own), sum(c[2] + c[3] for c in own)
+        open_ = [(own, (g + 8 * prior) / (n + 8))]
+        for depth in range(urltree.DEPTH + 1):
+            below = []
+            for rows, q in open_:
+                deeper = {}
+                for c in rows:
+                    if len(c[1]) > depth:
+                        deeper.setdefault(c[1][depth], []).append(c)
+                    else:
+                        out[host, tuple(c[1])] = q
+                total_g, total_n = sum(c[2] for c in rows if len(c[1]) > depth), sum(c[2] + c[3] for c in rows if len(c[1]) > depth)
+                merged = {}
+                for seg, part in deeper.items():
+                    sg, sn = sum(c[2] for c in part), sum(c[2] + c[3] for c in part)
+                    rg, rn = total_g - sg, total_n - sn
+                    alike = True
+                    if sn and rn:
+                        pool = total_g / total_n
+                        alike = abs(sg / sn - rg / rn) <= urltree.Z * (pool * (1 - pool) * (1 / sn + 1 / rn)) ** 0.5
+                    merged.setdefault("~" if alike else seg, []).extend(part)
+                for part in merged.values():
+                    sg, sn = sum(c[2] for c in part), sum(c[2] + c[3] for c in part)
+                    below.append((part, (sg + 8 * q) / (sn + 8)))
+            open_ = below
+    return out
+
+
+def test_purities_equal_plain_loops(spark):
+    rng = random.Random(17)
+    counts = []
+    for host in ("a.x", "b.y", ""):
+        paths = {tuple(rng.choice(("ads", "docs", "p", "q")) for _ in range(rng.randint(0, 4))) for _ in range(25)}
+        counts += [(host, list(p), rng.randint(0, 3) if p[:1] == ("ads",) else rng.randint(0, 9), rng.randint(0, 12) if p[:1] == ("ads",) else rng.choice((0, 0, 1))) for p in sorted(paths)]
+    got = {(r["host"], tuple(r["raw"])): r["purity"] for r in urltree.purities(spark, spark.createDataFrame(counts, "host string, raw array<string>, good long, bad long")).collect()}
+    want = purities(counts)
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_given_labels_teach_templates(spark):
+    """Labels add to rules, don't judge their own pages, and yield to rules."""
+    rows = [(i, f"http://s.net/bad/n{i}x{'y' * (i % 3)}") for i in range(60)] + [(100 + i, f"http://s.net/good/n{i}x") for i in range(60)] + [(300, "http://x.org/bad"), (301, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, False) for i in range(0, 60, 2)] + [(100 + i, True) for i in range(0, 60, 2)] + [(300, False), (5, None), (999, False)], "page_id long, good boolean")
+    got = {r["page_id"]: r for r in urltree.filter_urls(spark, df, rules=(("allow", "org/"),), labels=labels).collect()}
+    assert all(got[i]["verdict"] == "block" and got[i]["rule"] is None for i in range(60))
+    assert all(got[100 + i]["verdict"] == "allow" for i in range(60)) and got[300]["verdict"] == "allow" and got[301]["verdict"] == "allow"
+    assert len(got) == len(rows)
+
+
+def test_urls_with_long_and_deep_paths_and_ties(spark):
+    rules = (("allow", "a.com/x"), ("block", "b.a.com/x"), ("block", "a.com/xy"))
+    rows = [(1, "http://b.a.com/x1"), (2, "http://b.a.com/xy"), (3, "http://c.a.com/xy"), (4, "http://a.com/" + "/".join("d" * 300)), (5, "http://a.com/" + "z" * 100_000), (6, "http://a.com//x"), (6, "http://a.com//x")]
+    got = {r["page_id"]: r for r in urltree.filter_urls(spark, spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert (got[1]["verdict"], got[1]["rule"]) == ("block", "b.a.com/x")  # the longest, of rules that both fit
+    assert (got[2]["rule"], got[3]["rule"], got[6]["rule"]) == ("b.a.com/x", "a.com/xy", None)
+    assert len(got[4]["path"]) == 600 and len(got[5]["path"]) == 100_001
+
+
+def test_ids_fall_into_ranges(spark):
+    """Each range gets about its share, and rows of one id one range, whatever the ids."""
+    rng = random.Random(18)
+    keys = [rng.randrange(-(10**18), 10**18) for _ in range(3000)] + [7] * 500
+    bounds = sorted(set(sorted(keys)[i * 35] for i in range(1, 100)))
+    got = spark.createDataFrame([(k,) for k in keys], "key long").select("key", imatch._bucket(F.col("key"), bounds).alias("b")).collect()
+    import bisect
+
+    assert all(r["b"] == bisect.bisect_right(bounds, r["key"]) for r in got)
+
+
 @pytest.mark.parametrize("depth", [1, 3])
 def test_many_children_become_one(spark, depth):
     counts = spark.createDataFrame([("h", ["a"] * (depth - 1) + [f"k{i}x"], 1, 0) for i in range(200)], "host string, raw array<string>, good long, bad long")

@@ -178,3 +178,55 @@ def test_licences_inside_long_paragraphs(spark):
     assert len(want & got) >= 0.97 * len(want), sorted(want - got)
     assert len(got - want) <= 0.03 * len(want), sorted(got - want)
     assert {d for d, _ in got} & set(range(60)) == set()
+
+
+def wrapped(text, width):
+    out, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) > width:
+            out.append(line.strip())
+            line = ""
+        line += w + " "
+    return "\n".join([*out, line.strip()])
+
+
+def test_licences_wrapped_over_lines(spark):
+    """A notice that is wrapped is found on the line that it begins on; a blank line ends a paragraph."""
+    rng = random.Random(8)
+    prose = lambda n: words(rng, n, "aeinorst")
+    texts, want = [(i, prose(40)) for i in range(60)], set()
+    for family, templates in license.TEMPLATES.items():
+        t = max(templates, key=len)
+        if len(license.tokens(t)) >= 20:
+            d = len(texts) + 100
+            texts.append((d, f"{prose(9)}\n\n{prose(5)}\n{wrapped(t, 30)}\n\n{prose(8)}"))
+            want.add((d, 3, family))
+    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in license.scan_licenses(spark, spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want and len(want) >= 8
+
+
+def test_licence_edges(spark, empty):
+    """No rows, no text, blank lines, one very long text, repeated rows."""
+    assert license.scan_licenses(spark, empty).collect() == []
+    rng = random.Random(9)
+    notice = "Released under the MIT License."
+    rows = [(i, words(rng, 30, "aeinorst")) for i in range(50)] + [(60, None), (61, ""), (62, "\n\n \n"), (63, f"\n\n{notice}\n"), (63, f"\n\n{notice}\n"), (64, "\n".join([words(rng, 60000, "aeinorst"), notice, words(rng, 60000, "aeinorst")]))]
+    got = [(r["doc_id"], r["paragraph"], r["family"]) for r in license.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(63, 2, "mit"), (63, 2, "mit"), (64, 1, "mit")]
+
+
+def test_licence_calibration_uses_unseen_wordings():
+    model = license.fit([*license.variants(__import__("numpy").random.default_rng(3), license.TEMPLATES, 8), *[(w, license.UNKNOWN) for w in ("plain words here", "more of the same text")]], steps=20)
+    sure = [(license.TEMPLATES["mit"][0], "mit"), (license.TEMPLATES["bsl-1.0"][0], "bsl-1.0")]
+    wrong = [(license.TEMPLATES["mit"][0], "isc"), (license.TEMPLATES["zlib"][0], "bsl-1.0")]
+    assert license.temperature(model, sure) < license.temperature(model, wrong)
+    assert license.temperature(model, []) == 1.0
+
+
+def test_quality_with_repeated_ids_is_the_same_again(spark):
+    """Of texts that share a labelled id one is learned from, the same in reruns and however rows are dealt."""
+    rng = random.Random(10)
+    rows = [(3 * i % 90, ("!! " if i % 2 else "") + words(rng, 20)) for i in range(200)]
+    lab = spark.createDataFrame([(3 * i % 90, i % 2) for i in range(30)], "doc_id long, quality int")
+    key = lambda n: sorted((r["doc_id"], r["score"]) for r in quality.score_quality(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(n), lab, rows=20).collect())
+    assert key(2) == key(5)
