@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,30 +58,39 @@ def fold(intents: Iterable[str], state: str = "intake", status: str = "active")
     return state, status, moves, refused, history[-HISTORY:]
 
 
-FOLD_SCHEMA = "run_id long, state string, status string, moves long, refused long, history array<string>"
+#: Intents of a run that are folded at once.
+CHUNK = 1000
 
 
-def run_states(events: DataFrame) -> DataFrame:
-    """Final state of each run from events (run_id, pos, intent), folded in order."""
+def run_states_native(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``run_id, state, status, moves, refused``: final state of each run from events (run_id, pos, intent), in order.
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *fold(rows.sort_values("pos")["intent"]))], columns=["run_id", "state", "status", "moves", "refused", "history"])
+    A run is cut into chunks of ``chunk`` events. Each chunk is folded once for every state that it may begin in, so
+    chunks don't wait for each other and no array holds a whole run; then each run folds over its chunks.
+    """
+    table = F.create_map(*[F.lit(x) for s, i, n, t in TRANSITIONS for x in (f"{s}|{i}", f"{n}|{t}")])
+    nth = F.row_number().over(W.partitionBy("run_id").orderBy("pos")) - 1
+    parts = events.select("run_id", "pos", "intent", F.floor(nth / chunk).alias("chunk")).groupBy("run_id", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "intent"))), lambda x: x["intent"]).alias("i"))
 
-    return events.select("run_id", "pos", "intent").groupBy("run_id").applyInPandas(one, FOLD_SCHEMA)
+    def after(start: str) -> Column:
+        zero = F.struct(F.lit(start).alias("state"), F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("moves"), F.lit(0).cast("long").alias("refused"))
 
+        def step(a: Column, i: Column) -> Column:
+            to = F.element_at(table, F.concat_ws("|", a["state"], i))
+            ok = to.isNotNull()
+            return F.struct(F.when(ok, F.substring_index(to, "|", 1)).otherwise(a["state"]).alias("state"), F.when(ok, F.substring_index(to, "|", -1)).otherwise(a["status"]).alias("status"), (a["moves"] + ok.cast("long")).alias("moves"), (a["refused"] + (~ok).cast("long")).alias("refused"))
 
-def run_states_native(events: DataFrame) -> DataFrame:
-    """The same without Python: a fold over each run's ordered intents."""
-    table = F.create_map(*[F.lit(x) for s, i, n, t in TRANSITIONS for x in (f"{s}|{i}", f"{n}|{t}")])
-    ordered = events.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "intent"))), lambda x: x["intent"]).alias("i"))
+        return F.aggregate("i", zero, step)
+
+    folded = parts.select("run_id", "chunk", F.create_map(*[x for s in STATES for x in (F.lit(s), after(s))]).alias("to"))
+    ordered = folded.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", F.map_entries("to").alias("to")))), lambda x: x["to"]).alias("c"))
     zero = F.struct(F.lit("intake").alias("state"), F.lit("active").alias("status"), F.lit(0).cast("long").alias("moves"), F.lit(0).cast("long").alias("refused"))
 
-    def step(a: Column, i: Column) -> Column:
-        to = F.element_at(table, F.concat_ws("|", a["state"], i))
-        ok = to.isNotNull()
-        return F.struct(F.when(ok, F.substring_index(to, "|", 1)).otherwise(a["state"]).alias("state"), F.when(ok, F.substring_index(to, "|", -1)).otherwise(a["status"]).alias("status"), (a["moves"] + ok.cast("long")).alias("moves"), (a["refused"] + (~ok).cast("long")).alias("refused"))
+    def join(a: Column, c: Column) -> Column:
+        to = F.element_at(F.map_from_entries(c), a["state"])
+        return F.struct(to["state"].alias("state"), F.coalesce(to["status"], a["status"]).alias("status"), (a["moves"] + to["moves"]).alias("moves"), (a["refused"] + to["refused"]).alias("refused"))
 
-    return ordered.select("run_id", F.aggregate("i", zero, step).alias("s")).select("run_id", "s.*")
+    return ordered.select("run_id", F.aggregate("c", zero, join).alias("s")).select("run_id", "s.*")
 
 
 def streaks(days: DataFrame, user: str, day: str) -> DataFrame:

@@ -20,10 +20,10 @@ from .terms import term_hits
 def apply_dictionary(rows: DataFrame, source: str, target: str, replacements: DataFrame) -> DataFrame:
     """Adds ``rewritten`` and ``n_replaced``: replacements (pos, term, old, new) in order, where the source has their term.
 
-    The table is gathered into one row, as a dictionary that a reader of the source holds; each row then folds over the
-    entries that apply to it.
+    The table is gathered into one row, as a dictionary that a reader of the source holds (at most ``SMALL_ROWS``
+    entries, else an error); each row then folds over the entries that apply to it.
     """
-    table = replacements.agg(F.array_sort(F.collect_list(F.struct("pos", "term", "old", "new"))).alias("_table"))
+    table = small(replacements).agg(F.array_sort(F.collect_list(F.struct("pos", "term", "old", "new"))).alias("_table"))
     met = rows.crossJoin(F.broadcast(table))  # one row
     own = F.filter("_table", lambda r: F.lower(T.text(source)).contains(F.lower(r["term"])) & (r["old"] != ""))
     zero = F.struct(T.text(target).alias("t"), F.lit(0).alias("n"))

@@ -130,3 +130,51 @@ def years_moved(source: DataFrame, target: DataFrame, dx: float = 80, dy: float
     gap = F.abs(F.col("sx") - F.col("tx")) + F.abs(F.col("sy") - F.col("ty"))
     best = of(source, "s").join(of(target, "t"), [*PAGE, "year"]).groupBy(*PAGE, "year", "sx", "sy").agg(F.min_by(F.struct("tx", "ty"), gap).alias("m"))
     return best.where((F.abs(F.col("sx") - F.col("m.tx")) > dx) | (F.abs(F.col("sy") - F.col("m.ty")) > dy)).select(*PAGE, "year")
+
+
+def merged_list_items(source: DataFrame, target: DataFrame) -> DataFrame:
+    """``doc_id, page, line_index, text``: the first target line with two or more item markers, where the source has two
+    or more items on lines of their own."""
+    items = source.where(F.col("text").rlike(r"^\s*[1-9][.)]\s+")).groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n")).where("_n >= 2")
+    marks = F.regexp_extract_all(T.text("text"), F.lit(r"(?:^|\s)([1-9][.)])\s+"), 1)
+    hits = target.where(F.size(F.array_distinct(marks)) >= 2).join(items, F.col("doc_id") == F.col("_d"), "left_semi")
+    return hits.groupBy("doc_id").agg(F.min_by(F.struct("page", "line_index", "text"), F.struct("page", "line_index")).alias("m")).select("doc_id", "m.*")
+
+
+# Headings and phrases of the last pages, in the source's and the target's language.
+BACK_MATTER = (
+    "Acknowledgements", "Author contributions", "Competing interests", "Ethics approval", "Informed consent", "Additional information", "Supplementary information", "Correspondence and requests for materials",
+    "Reprints and permission information", "Publisher's note", "Publisher’s note", "This research was supported", "The authors declare no competing interests", "did not require ethical approval", "informed consent was therefore not required",
+)
+BACK_MATTER_TRANSLATED = ("致谢", "作者贡献", "利益冲突", "伦理批准", "知情同意", "附加信息", "补充信息", "通讯及材料请求", "转载与授权", "出版方声明", "不存在利益冲突", "无需伦理", "无需取得知情同意")
+
+
+def back_matter(lines: DataFrame, from_page: int = 10) -> DataFrame:
+    """``doc_id, status, n_english, n_translated``: which marks of back matter the last pages show."""
+    marks = lines.where(F.col("page") >= from_page).select("doc_id", T.text("text").alias("t"))
+    own = [(F.lower("t").contains(m.lower()), f"e{i}") for i, m in enumerate(BACK_MATTER)] + [(F.col("t").contains(m), f"t{i}") for i, m in enumerate(BACK_MATTER_TRANSLATED)]
+    seen = marks.groupBy("doc_id").agg(*[F.max(c.cast("int")).alias(n) for c, n in own])
+    total = lambda p, n: sum((F.col(f"{p}{i}") for i in range(1, n)), F.col(f"{p}0"))
+    out = seen.select("doc_id", total("e", len(BACK_MATTER)).cast("long").alias("n_english"), total("t", len(BACK_MATTER_TRANSLATED)).cast("long").alias("n_translated"))
+    e, t = F.col("n_english") > 0, F.col("n_translated")
+    return out.withColumn("status", F.when(e & (t > 0), "mixed").when(e, "english_visible").when(t >= 3, "translated_visible").otherwise("unknown"))
+
+
+def pixel_ratios(pixels: DataFrame) -> DataFrame:
+    """``doc_id, page, n, nonwhite_ratio, colored_ratio, n_colors`` from decoded pixels (r, g, b)."""
+    low, high = F.least("r", "g", "b"), F.greatest("r", "g", "b")
+    out = pixels.groupBy(*PAGE).agg(F.count("*").alias("n"), F.count_if(low < 245).alias("_w"), F.count_if((high - low >= 18) & (low < 245)).alias("_c"), F.count_distinct("r", "g", "b").alias("n_colors"))
+    return out.select(*PAGE, "n", F.round(F.col("_w") / F.col("n"), 4).alias("nonwhite_ratio"), F.round(F.col("_c") / F.col("n"), 4).alias("colored_ratio"), "n_colors")
+
+
+def layout_map(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of a layout from tracked paragraphs (doc_id, nth, tracking_group, page, debug_id, layout_id, layout_label,
+    input, output, fallback), with ``engine_block_id`` and ``fallback_status``; and shares of both by document."""
+    where = F.concat(F.coalesce("tracking_group", F.lit("tracking")), F.lit(":p"), F.coalesce(F.col("page").cast("string"), F.lit("None")))
+    named = F.when(T.text("debug_id") != "", F.concat(F.lit(":debug:"), "debug_id")).when(T.text("layout_id") != "", F.concat(F.lit(":layout:"), "layout_id")).otherwise(F.format_string(":order:%04d", F.col("nth")))
+    s, o = T.strip(F.col("input")), T.strip(F.col("output"))
+    same = (s != "") & (o != "") & (T.normalize(s) == T.normalize(o))
+    status = F.when(F.coalesce("fallback", F.lit(False)), "fallback_to_translate").when(same, "same_as_input").when(T.has_cjk(o) & o.rlike("[A-Za-z]{3,}"), "mixed_or_partial_output").otherwise("translated_or_passthrough")
+    blocks = paragraphs.withColumn("engine_block_id", F.concat(where, named)).withColumn("fallback_status", status)
+    shares = blocks.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.round(F.avg((T.text("layout_label") != "").cast("int")), 3).alias("label_coverage"), F.round(F.avg((F.col("fallback_status") != "translated_or_passthrough").cast("int")), 3).alias("fallback_ratio"))
+    return blocks, shares

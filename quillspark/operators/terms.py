@@ -27,20 +27,75 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return reduce(DataFrame.unionByName, [of(k, p) for k, p, _ in CANDIDATES])
 
 
+# Terms with a settled treatment (translation, action, confidence, type), in their order.
+KNOWN_TERMS = (
+    ("LLM", "LLM（大型语言模型）", "keep+explain", "high", "abbreviation"),
+    ("LLMs", "LLMs（大型语言模型）", "keep+explain", "high", "abbreviation"),
+    ("LitLLMs", "LitLLMs", "keep", "high", "name"),
+    ("Literature Review", "文献综述", "translate", "high", "concept"),
+    ("Literature review", "文献综述", "translate", "high", "section_heading"),
+    ("Introduction", "引言", "translate", "high", "section_heading"),
+    ("Large Language Model", "大型语言模型", "translate", "high", "concept"),
+    ("Large Language Models", "大型语言模型", "translate", "high", "concept"),
+    ("Human-Centered AI", "以人为本人工智能", "translate", "high", "concept"),
+    ("AI sovereignty", "人工智能主权", "translate", "high", "policy_term"),
+    ("Research and Development", "研究与开发", "contextual", "medium", "section_title"),
+    ("Hong Kong Polytechnic University", "香港理工大学", "translate", "high", "organization"),
+    ("AI Index", "人工智能指数（AI Index）", "first_bilingual", "high", "publication"),
+    ("textbase", "文本库", "translate", "medium", "discourse_term"),
+    ("Sub-corpus", "子语料库", "translate", "medium", "table_header"),
+    ("Number of texts", "文本数量", "translate", "medium", "table_header"),
+    ("Competing interests", "竞争利益声明", "translate", "medium", "section_title"),
+    ("Retrieval-Augmented Generation", "检索增强生成", "translate", "high", "concept"),
+    ("RAG", "RAG（检索增强生成）", "keep+explain", "high", "abbreviation"),
+)
+# Candidates that are never terms, whatever their case, and how section headings begin.
+STOP_TERMS = ("Abstract", "Conclusion", "References", "Related Work", "The", "This", "These", "Figure", "Table")
+SECTION_PREFIXES = ("Abstract ", "Introduction ", "Conclusion ", "References ", "Keywords ")
+#: Characters of a text that are looked through, beside its title, abstract and keywords.
+SCOPE_CHARS = 6000
+
+
+def term_scope(c: Column) -> Column:
+    """What terms are looked for in: the title, the abstract, the keywords, and the text's beginning."""
+    body = T.text(c)
+    title = F.regexp_extract(body, r"(?:^|\n)[# \t\r]*([^\s#][^\n]*?)[# \t\r]*(?:\n|\z)", 1)
+    abstract = F.regexp_extract(body, r"(?is)(?:^|\n)\s*(?:#+\s*)?abstract\s*\n(.*?)(?:\n\s*(?:#+\s*)?(?:introduction|1\.|keywords?)\b|\z)", 1)
+    keywords = F.regexp_extract(body, r"(?im)^Keywords?\s*[:：]\s*(.+)$", 1)
+    return F.concat_ws("\n", title, abstract, keywords, F.substring(body, 1, SCOPE_CHARS))
+
+
 def candidate_terms(docs: DataFrame, max_terms: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``term, kind, n, term_type, rank`` over all documents: the most frequent of each kind, without low-value ones.
+    """``doc_id, term, kind, n, translation, action, confidence, term_type, rank``: the terms of each document.
 
-    Ties go to the term that comes first by document and place.
+    The most frequent of each kind are kept, ties to the first seen; then known terms that occur, whatever their number.
+    Phrases of over six words, low-value ones, section headings and parts of known terms are left out. Known terms come
+    first, then the others by letter, up to ``max_terms``.
     """
-    counts = occurrences(docs, id_col, text_col).groupBy("kind", "term").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
-    kept = F.lit(False)
-    for kind, _, most in CANDIDATES:
-        kept = kept | ((F.col("kind") == kind) & (F.col("place") <= most))
-    placed = counts.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "first", "term"))).where(kept)
-    good = placed.where((T.low_value_reason(F.col("term")) == "") & (F.size(F.split("term", r"\s+")) <= 6))
-    once = good.groupBy("term").agg(F.min_by(F.struct("kind", "n"), F.struct("kind")).alias("k"))
-    out = once.select("term", "k.kind", "k.n", T.term_type(F.col("term")).alias("term_type"))
-    return out.withColumn("rank", F.row_number().over(W.orderBy(F.lower("term"), "term"))).where(F.col("rank") <= max_terms)
+    spark = docs.sparkSession
+    scoped = docs.select(F.col(id_col).alias("doc_id"), term_scope(F.col(text_col)).alias("text"))
+    counts = occurrences(scoped).groupBy("doc_id", "kind", "term").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    order = F.create_map(*[F.lit(x) for i, (k, _, _) in enumerate(CANDIDATES) for x in (k, i + 1)])
+    most = F.create_map(*[F.lit(x) for k, _, m in CANDIDATES for x in (k, m)])
+    placed = counts.withColumn("place", F.row_number().over(W.partitionBy("doc_id", "kind").orderBy(F.desc("n"), "first"))).where(F.col("place") <= most[F.col("kind")])
+    placed = placed.where((F.col("kind") != "phrase") | (F.size(F.split("term", r"\s+")) <= 6)).withColumn("term", T.term_body(F.col("term")))
+    known = F.col("term").isin(*[t for t, *_ in KNOWN_TERMS])
+    prefixed = F.lit(False)
+    for p in SECTION_PREFIXES:
+        prefixed = prefixed | F.col("term").startswith(p)
+    good = (F.length("term") >= 2) & ~F.lower("term").isin(*[t.lower() for t in STOP_TERMS]) & (known | (T.low_value_reason(F.col("term")) == "")) & ~prefixed & ~F.col("term").rlike(r"\b[A-Z]{2,}s?\s+for\s+")
+    found = placed.where(good).select("doc_id", "term", "kind", "n", order[F.col("kind")].alias("o"), "place")
+    listed = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(i).alias("place")) for i, (t, *_) in enumerate(KNOWN_TERMS)])
+    # The name's own marks are escaped by quoting it whole.
+    bordered = lambda x: F.regexp_like("text", F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), x["term"], F.lit(r"\E(?![A-Za-z0-9])")))
+    present = scoped.select("doc_id", F.explode(F.filter(listed, bordered)).alias("x")).select("doc_id", "x.term", F.lit("known").alias("kind"), F.lit(None).cast("long").alias("n"), F.lit(9).alias("o"), "x.place")
+    once = found.unionByName(present).groupBy("doc_id", "term").agg(F.min_by(F.struct("kind", "n", "o", "place"), F.struct("o", "place")).alias("k"), F.max((F.col("kind") == "known").cast("int")).alias("is_known"))
+    names = present.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("term").alias("_known"))
+    kept = once.join(names, F.col("doc_id") == F.col("_d"), "left").where((F.col("is_known") == 1) | ~F.coalesce(F.exists("_known", lambda x: x.contains(F.col("term"))), F.lit(False)))
+    table = spark.createDataFrame(list(KNOWN_TERMS), "_term string, translation string, action string, confidence string, _type string")
+    told = kept.join(F.broadcast(table), (F.col("term") == F.col("_term")) & (F.col("is_known") == 1), "left")
+    out = told.select("doc_id", "term", "k.kind", "k.n", T.text("translation").alias("translation"), F.coalesce("action", F.lit("decide")).alias("action"), F.coalesce("confidence", F.lit("medium")).alias("confidence"), F.coalesce("_type", T.term_type(F.col("term"))).alias("term_type"), F.col("is_known"))
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("is_known"), F.lower("term"), "term"))).where(F.col("rank") <= max_terms).drop("is_known")
 
 
 def merge_layers(layers: list[DataFrame], key: str, fields: list[str], names: list[str]) -> DataFrame:
@@ -95,16 +150,49 @@ def check_policies(pairs: DataFrame, policies: DataFrame) -> DataFrame:
     return met.withColumn("severity", severity).where("severity is not null").select("block_id", "term", "severity", title.alias("title"))
 
 
-def english_residue(docs: DataFrame, allowed: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, bucket, words``: ASCII words left in a translation that must go, may stay, or need a policy."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.array_distinct(T.ascii_words(F.col(text_col), 3))).alias("at", "word"))
-    a = allowed.select(F.lower("word").alias("_a")).distinct()
-    t = terms.select(F.lower("term").alias("_t")).distinct()
-    met = words.join(a, F.lower("word") == F.col("_a"), "left").join(t, F.lower("word") == F.col("_t"), "left")
-    shape = F.col("word").rlike("^[A-Z]{2,}s?$|[a-z][A-Z]|[0-9]")
-    bucket = F.when(F.col("_a").isNotNull(), "allowed_keep").when(F.col("_t").isNotNull() | shape, "needs_term_policy").otherwise("must_translate")
-    out = met.groupBy("doc_id", bucket.alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("w"))
-    return out.select("doc_id", "bucket", F.transform("w", lambda x: x["word"]).alias("words"))
+# Words of a translation that must go, that may stay, and that need a policy.
+MUST_TRANSLATE = ("sub-corpus", "number", "texts", "tokens", "mean", "length", "translation", "profile", "dimensions", "continuing")
+MAY_STAY = ("abstract", "references", "doi", "url", "http", "https", "et", "al", "openai", "latextrans")
+NEED_POLICY = ("caption", "captions", "environment", "environments", "eqnarray", "gpt-academic", "pdflatex", "pylatexenc", "subsection", "textbf")
+RESIDUE_WORD = r"(?<![\p{L}\p{N}_])[A-Za-z][A-Za-z-]{2,}(?![\p{L}\p{N}_])"
+
+
+def english_residue(docs: DataFrame, protected: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, bucket, words``: ASCII words left in a translation that must go, may stay, or need a policy, each once,
+    in their order; short words in small letters count for nothing.
+
+    A word may stay if it is protected (value) or known to, if it begins like a name, or next to an address: links within
+    48 characters, an at sign within 32 after or 16 before it and no CJK between. Words within a term (term) need a
+    policy; they meet terms on their first three letters.
+    """
+    pieces = F.split(T.text(text_col), RESIDUE_WORD)
+    words = F.regexp_extract_all(T.text(text_col), F.lit(RESIDUE_WORD), 0)
+    laid = docs.select(F.col(id_col).alias("doc_id"), words.alias("w"), pieces.alias("g"))
+    # Text and words in turn. A word has three characters and stands apart, so twelve pairs on either side are enough.
+    turns = F.flatten(F.zip_with("g", F.concat("w", F.array(F.lit(""))), lambda g, w: F.array(g, w)))
+    near = lambda i, n: F.array_join(F.slice("t", F.greatest(F.lit(1), 2 * i - 23), F.least(2 * i + 1, F.lit(25))), "")
+    after = lambda i: F.array_join(F.slice("t", 2 * i + 3, 25), "")
+    at = laid.withColumn("t", turns).select("doc_id", F.explode(F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("word"), near(i, 0).alias("before"), after(i).alias("after")))).alias("x")).select("doc_id", "x.*")
+    low = F.lower("word")
+    ends, begins = F.left("after", F.lit(32)), F.right("before", F.lit(16))
+    around = F.lower(F.concat(F.right("before", F.lit(48)), "word", F.left("after", F.lit(48))))
+    address = (ends.contains("@") & ~F.substring_index(ends, "@", 1).rlike(f"[{T.CJK}]")) | (begins.contains("@") & ~F.substring_index(begins, "@", -1).rlike(f"[{T.CJK}]")) | around.rlike(r"https?://|www\.|github\.com|gitlab\.com|doi\.org") | (F.col("word").contains("-") & around.contains("bitbucket.org"))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3)))
+    held = terms.select(F.lower("term").alias("_t")).where(F.length("_t") >= 3).distinct()
+    keyed = held.select("_t", F.explode(F.array_distinct(grams(F.col("_t")))).alias("_g"))
+    distinct = at.select(low.alias("_w")).distinct()
+    within = distinct.join(keyed, F.substring("_w", 1, 3) == F.col("_g")).where(F.col("_t").contains(F.col("_w"))).select("_w").distinct().withColumn("_in", F.lit(True))
+    kept = protected.select(F.col("value").alias("_v")).distinct()
+    met = at.join(within, low == F.col("_w"), "left").join(kept, F.col("word") == F.col("_v"), "left")
+    bucket = (
+        F.when(low.isin(*MUST_TRANSLATE), "must_translate")
+        .when(F.col("_v").isNotNull() | low.isin(*MAY_STAY) | address, "allowed_keep")
+        .when(low.isin(*NEED_POLICY) | F.coalesce("_in", F.lit(False)), "needs_term_policy")
+        .when(F.col("word").rlike("^[A-Z]"), "allowed_keep")
+        .when(F.length("word") >= 8, "must_translate")
+    )
+    once = met.withColumn("bucket", bucket).where("bucket is not null").groupBy("doc_id", "bucket", "word").agg(F.min("at").alias("at"))
+    return once.groupBy("doc_id", "bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("words"))
 
 
 # What a source says, and what its translation must not lose.

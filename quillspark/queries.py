@@ -67,11 +67,6 @@ def term_candidates(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "term")).cast("long"))
 
 
-@query()
-def term_table(spark, sf_dir):
-    return terms.candidate_terms(table(spark, sf_dir, "documents"))
-
-
 @query(r"""SELECT doc_id, generate_subscripts(m, 1) - 1 AS nth, unnest(m) AS value FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS m FROM documents)""")
 def protected_email_spans(spark, sf_dir):
     out = spans.single_kind(table(spark, sf_dir, "documents"), r"[A-Za-z0-9_.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
@@ -386,4 +381,4 @@ def bucket_caps(spark, sf_dir):
     return e.withColumn("n", F.row_number().over(w)).where("n <= 20").select("user_id", F.col("event_type").alias("bucket"), "event_id")
 
 
-from . import block_queries, box_queries, quality_queries, record_queries, text_queries  # noqa: E402, F401  (they register their queries)
+from . import block_queries, box_queries, quality_queries, record_queries, rule_queries, text_queries  # noqa: E402, F401  (they register their queries)

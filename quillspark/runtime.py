@@ -19,6 +19,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """``df``, to be broadcast if it is counted to hold at most ``rows`` rows; else Spark picks another join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Rows that a table of rules, words or policies may have where it meets every row of another.
+SMALL_ROWS = 20_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, to be broadcast, if it is counted to hold at most ``rows`` rows; else an error, as meeting every row of
+    a large table with every row of another is no plan at all."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"a table that meets all rows of another has more than {rows} rows; split it")
+    return F.broadcast(df)

@@ -1,7 +1,5 @@
-import difflib
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,20 +90,6 @@ def test_terms_and_policies(spark):
     assert rows(lost, "kind", "severity") == [("url", "high")]
 
 
-def test_greedy_matching(spark):
-    a = pd.DataFrame([("s1", 1, "Alpha bravo charlie delta"), ("x9", None, "unlike everything else zz"), ("s3", 2, "completely same words here")], columns=["block_id", "page", "text"])
-    b = pd.DataFrame([("l1", 1, "alpha bravo charlie deltas and"), ("x9", 5, "other"), ("l3", 2, "completely same word here")], columns=["block_id", "page", "text"])
-    got = align.greedy_pairs(a, b)
-    assert got[0][1:3] == ("l1", "page_text_similarity") and got[0][3] == 0.92
-    assert got[1][1:] == ("x9", "block_id", 1.0)
-    assert got[2][3] == round(difflib.SequenceMatcher(None, "completely same words here", "completely same word here").ratio(), 3)
-    cols = "doc_id long, pos int, block_id string, page int, text string"
-    s = spark.createDataFrame([(1, 1, "s1", 1, "alpha bravo charlie delta echo foxtrot")], cols)
-    t = spark.createDataFrame([(1, 1, "l1", 1, "alpha bravo charlie"), (1, 2, "l2", 1, "delta echo foxtrot"), (1, 3, "l3", 1, "alpha")], cols)
-    assert rows(align.match_composites(s, t), "block_id", "layout_ids", "coverage") == [("s1", ["l1", "l2"], 1.0)]
-    assert rows(align.match_blocks(s, t), "layout_id") == [("l1",)] or rows(align.match_blocks(s, t), "method")[0][0] in ("page_text_similarity", "unmatched")
-
-
 def test_best_fuzzy_equals_brute_force(spark, tmp_path, monkeypatch):
     """The query on whole lines and items: long ones, short ones, items after other words, edits at the start, ties."""
     monkeypatch.setattr(align, "NEEDLE_ROWS", 40)
@@ -325,9 +309,13 @@ def test_events(spark):
     ev = spark.createDataFrame([(1, 0, "e1", 1, "a"), (1, 1, "e1", 3, "b"), (1, 2, "e3", 2, " ")], "run_id int, pos int, event_id string, turn_index int, raw_text string")
     assert sorted(rows(events.order_errors(ev), "event_id", "code")) == [("e1", "event_id_duplicate"), ("e3", "raw_text_empty"), ("e3", "turn_index_not_increasing")]
     runs = spark.createDataFrame([(1, i, x) for i, x in enumerate(["propose", "confirm", "build", "odd", "evaluate_pass"])] + [(2, 0, "build")], "run_id long, pos int, intent string")
-    a = sorted(rows(events.run_states(runs), "run_id", "state", "status", "moves", "refused"))
-    assert a == [(1, "local_delivered", "delivered", 4, 1), (2, "intake", "active", 0, 1)]
+    a = [(1, "local_delivered", "delivered", 4, 1), (2, "intake", "active", 0, 1)]
     assert sorted(rows(events.run_states_native(runs), "run_id", "state", "status", "moves", "refused")) == a
+    long = [(r, i, random.Random(100 * r + i).choice(["propose", "confirm", "revise", "build", "evaluate_pass", "evaluate_fail", "answer", "clarify"])) for r in range(5) for i in range(40)]
+    want = [(r, *events.fold([x for q, _, x in long if q == r])[:4]) for r in range(5)]
+    for chunk in (1, 7, 1000):  # runs are folded in chunks, whatever their length
+        got = events.run_states_native(spark.createDataFrame(long, "run_id long, pos int, intent string").repartition(3), chunk)
+        assert sorted(rows(got, "run_id", "state", "status", "moves", "refused")) == want
     days = spark.createDataFrame([(1, f"2024-01-{d:02d}") for d in (1, 2, 3, 5, 6, 6)], "user_id int, d string")
     assert rows(events.streaks(days, "user_id", "d"), "streak") == [(2,)]
     rec = spark.createDataFrame([("a", {"n": "1.5", "d": "2024-01-01"}), ("b", {"n": "x"}), ("c", {"zz": "1"})], "id string, values map<string,string>")
