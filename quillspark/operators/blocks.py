@@ -68,16 +68,25 @@ def repeated_lines(rows: DataFrame, group: str = "doc_id", part: str = "page", k
     return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).select(group, "line", "n", "rank")
 
 
+def frequent_lines(rows: DataFrame, keep: int = 100, shortest: int = 16, longest: int = 140) -> DataFrame:
+    """``line, n_docs, place``: the lines that most documents share, two at least, over the whole corpus."""
+    norm = rows.select("doc_id", T.collapse(F.col("line")).alias("line"))
+    once = norm.where(F.length("line").between(shortest, longest) & ~F.col("line").rlike(r"^\d+$")).distinct()
+    counts = once.groupBy("line").agg(F.count("*").alias("n_docs")).where("n_docs >= 2")
+    top = counts.orderBy(F.desc("n_docs"), "line").limit(keep)
+    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("n_docs"), "line")).cast("long"))
+
+
 def split_noise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Kept text (doc_id, text) and noise (doc_id, metadata_id, page, noise_reason, text, char_count)."""
-    rows = with_pages(lines(docs, id_col, text_col))
+    rows = with_pages(lines(docs, id_col, text_col)).withColumn("_c", T.collapse(F.col("line")))
     repeated = repeated_lines(rows.where(~F.col("is_marker")).withColumn("page", F.coalesce("page", F.lit(0)))).select(F.col("doc_id").alias("_d"), F.col("line").alias("_l"))
-    seen = rows.join(repeated, (F.col("doc_id") == F.col("_d")) & (T.collapse(F.col("line")) == F.col("_l")), "left")
-    judged = seen.withColumn("noise_reason", F.when(F.col("is_marker"), "").otherwise(T.noise_reason(F.col("line"), F.col("_l").isNotNull())))
+    seen = rows.join(repeated, (F.col("doc_id") == F.col("_d")) & (F.col("_c") == F.col("_l")), "left")
+    judged = seen.withColumn("noise_reason", F.when(F.col("is_marker"), "").otherwise(T.noise_reason(F.col("_c"), F.col("_l").isNotNull(), collapsed=True)))
     body = judged.where("noise_reason = ''").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("b"))
     joined = F.regexp_replace(F.array_join(F.transform("b", lambda x: x["line"]), "\n"), r"\n{4,}", "\n\n\n")
     order = W.partitionBy("doc_id").orderBy("pos")
-    noise = judged.where("noise_reason <> ''").withColumn("n", F.row_number().over(order)).withColumn("text", T.collapse(F.col("line")))
+    noise = judged.where("noise_reason <> ''").withColumn("n", F.row_number().over(order)).withColumn("text", F.col("_c"))
     return body.select("doc_id", T.strip(joined).alias("text")), noise.select("doc_id", F.format_string("metadata-%04d", "n").alias("metadata_id"), "page", "noise_reason", "text", F.length("text").alias("char_count"))
 
 
@@ -163,17 +172,18 @@ def line_order_signature(spans: DataFrame) -> DataFrame:
 
 def extraction_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_token: int = 18) -> DataFrame:
     """One row for each document: token counts and lengths, breaks, noise, and a status by fixed limits."""
-    tokens = T.alpha_tokens(F.col(text_col))
-    sizes = F.transform(tokens, F.length)
-    split = F.split(T.text(text_col), LINE_END)
-    out = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.size(tokens).alias("n_tokens"),
-        F.coalesce(F.array_max(sizes), F.lit(0)).alias("longest"),
-        F.when(F.size(tokens) > 0, T.round_half(F.aggregate(sizes, F.lit(0), lambda a, x: a + x) / F.size(tokens), 2)).otherwise(0.0).alias("average"),
-        F.size(F.filter(sizes, lambda n: n >= long_token)).alias("n_long"),
-        F.regexp_count(T.text(text_col), F.lit(r"[A-Za-z]-\n[A-Za-z]")).alias("n_breaks"),
-        F.size(F.filter(split, lambda x: (F.length(F.trim(x)) >= 20) & x.rlike(T.METADATA_LINE))).alias("n_metadata"),
+    body = T.text(text_col)
+    # Token sizes are a column of their own, as several figures are made from them.
+    rows = docs.select(F.col(id_col).alias("doc_id"), body.alias("_t"), F.transform(T.alpha_tokens(F.col(text_col)), F.length).alias("_n"))
+    metadata = F.filter(F.split("_t", LINE_END), lambda x: (F.length(F.trim(x)) >= 20) & T.metadata_line(x))
+    out = rows.select(
+        "doc_id",
+        F.size("_n").alias("n_tokens"),
+        F.coalesce(F.array_max("_n"), F.lit(0)).alias("longest"),
+        F.when(F.size("_n") > 0, T.round_half(F.aggregate("_n", F.lit(0), lambda a, x: a + x) / F.size("_n"), 2)).otherwise(0.0).alias("average"),
+        F.size(F.filter("_n", lambda n: n >= long_token)).alias("n_long"),
+        F.regexp_count("_t", F.lit(r"[A-Za-z]-\n[A-Za-z]")).alias("n_breaks"),
+        F.size(metadata).alias("n_metadata"),
     )
     warn = (F.col("n_long") >= 5) | (F.col("longest") >= 35) | (F.col("n_metadata") >= 8)
     return out.withColumn("status", F.when(warn, "warn").otherwise("ok"))

@@ -18,11 +18,7 @@ WITH l AS (SELECT DISTINCT doc_id, trim(regexp_replace(line, '\s+', ' ', 'g')) A
 SELECT line, count(*) AS n_docs, row_number() OVER (ORDER BY count(*) DESC, line) AS place
 FROM l WHERE length(line) BETWEEN 16 AND 140 AND NOT regexp_full_match(line, '[0-9]+') GROUP BY line HAVING count(*) >= 2 QUALIFY place <= 100""")
 def repeated_lines_topk(spark, sf_dir):
-    rows = blocks.lines(table(spark, sf_dir, "documents")).select("doc_id", T.collapse(F.col("line")).alias("line"))
-    once = rows.where("length(line) between 16 and 140 and not line rlike '^[0-9]+$'").distinct()
-    counts = once.groupBy("line").agg(F.count("*").alias("n_docs")).where("n_docs >= 2")
-    top = counts.orderBy(F.desc("n_docs"), "line").limit(100)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("n_docs"), "line")).cast("long"))
+    return blocks.frequent_lines(blocks.lines(table(spark, sf_dir, "documents")))
 
 
 @query(rf"""
@@ -38,7 +34,7 @@ r AS (SELECT doc_id, CASE WHEN line = '' THEN ''
 SELECT doc_id, noise_reason, count(*) AS n, sum(length(line))::BIGINT AS n_chars FROM r WHERE line <> '' GROUP BY doc_id, noise_reason""")
 def line_noise_split(spark, sf_dir):
     rows = blocks.lines(table(spark, sf_dir, "documents")).select("doc_id", T.collapse(F.col("line")).alias("line")).where("line <> ''")
-    return rows.withColumn("noise_reason", T.noise_reason(F.col("line"))).groupBy("doc_id", "noise_reason").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("n_chars"))
+    return rows.withColumn("noise_reason", T.noise_reason(F.col("line"), collapsed=True)).groupBy("doc_id", "noise_reason").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("n_chars"))
 
 
 @query(r"""SELECT doc_id, length(regexp_replace(regexp_replace(text, 'https?://[^\s<>\])}"'']+', '', 'g'), '[^\p{L}\p{N}]+', '', 'g')) AS n FROM documents""")
@@ -78,11 +74,6 @@ def inline_math(spark, sf_dir):
     return spans.single_kind(table(spark, sf_dir, "documents"), r"\$[^$\n]{1,240}\$").select("doc_id", F.col("nth").cast("long"), "value")
 
 
-@query()
-def protected_spans_all(spark, sf_dir):
-    return spans.protected_spans(blocks.build_blocks(table(spark, sf_dir, "documents")))
-
-
 @query(rf"""
 WITH l AS (SELECT *, trim(line) = '' AS blank, regexp_matches(trim(line), '(?i)^(?:abstract|introduction|related work|methodology|methods|experiments|results|discussion|conclusion|references)(?:[^\p{{L}}\p{{N}}_]|$)') OR regexp_matches(trim(line), '^#{{1,6}}\s+\S+') AS head FROM {_LINES}),
 s AS (SELECT *, NOT blank AND (head OR pos = 0 OR coalesce(lag(blank) OVER w, true) OR coalesce(lag(head) OVER w, true)) AS start FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -93,11 +84,6 @@ def block_build(spark, sf_dir):
     return out.select("doc_id", F.col("pos").cast("long"), F.col("char_count").cast("long"), (F.col("element_type") == "heading").alias("is_heading"))
 
 
-@query()
-def section_rollup(spark, sf_dir):
-    return blocks.sections(blocks.build_blocks(table(spark, sf_dir, "documents")))
-
-
 _BREAK = "p|br|div|section|article|h1|h2|h3|li|tr"
 
 
@@ -152,16 +138,6 @@ def duplicate_keys(spark, sf_dir):
     return align.duplicated(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("""WITH c AS (SELECT o_orderkey, n_name, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS hit FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
-SELECT n_name, count(*) AS expected, count(*) FILTER (WHERE hit) AS covered, round(count(*) FILTER (WHERE hit) / count(*), 3) AS coverage FROM c GROUP BY n_name""")
-def coverage_by_group(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    hit = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("_k")).distinct()
-    met = o.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).join(hit, F.col("o_orderkey") == F.col("_k"), "left")
-    out = met.groupBy("n_name").agg(F.count("*").alias("expected"), F.count("_k").alias("covered"))
-    return out.withColumn("coverage", F.round(F.col("covered") / F.col("expected"), 3))
-
-
 @query("""WITH r AS (SELECT *, ((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 20)::BIGINT AS win FROM events)
 SELECT user_id, win AS "window", count(*) AS n, sum((event_type <> 'error')::INT)::BIGINT AS ok, sum((event_type = 'error')::INT)::BIGINT AS missing, round(sum((event_type <> 'error')::INT) / count(*), 3) AS ratio,
   sum((event_type = 'error')::INT) > greatest(2, floor(count(*) * 0.03)) AS blocking FROM r GROUP BY user_id, win""")
@@ -178,26 +154,6 @@ def turn_alignment(spark, sf_dir):
     return c.where("role = 'user'").select("conv_id", "turn", status.alias("status"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations)
-SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE turn <= before) AS not_increasing, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps FROM t GROUP BY conv_id""")
-def turn_order_check(spark, sf_dir):
-    w = W.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(W.unboundedPreceding, -1)
-    c = table(spark, sf_dir, "conversations").withColumn("before", F.max("turn").over(w))
-    out = c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("turn") <= F.col("before")).alias("not_increasing"), (F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")).alias("gaps"))
-    return out
-
-
-_WORDS = r"list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))"
-
-
-@query(rf"""WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT a.doc_id, b.doc_id AS other, len(list_intersect(a.w, b.w)) AS i, len(list_distinct(list_concat(a.w, b.w))) AS u FROM t a JOIN t b ON b.doc_id = a.doc_id + 1 UNION ALL SELECT a.doc_id, b.doc_id, len(list_intersect(a.w, b.w)), len(list_distinct(list_concat(a.w, b.w))) FROM t a JOIN t b ON b.doc_id = a.doc_id - 1)
-SELECT doc_id, max(CASE WHEN u > 0 THEN round(i / u, 3) ELSE 0 END) AS best FROM p GROUP BY doc_id""")
-def jaccard_neighbours(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("w"))
-    near = d.withColumn("other", F.explode(F.array(F.col("doc_id") - 1, F.col("doc_id") + 1))).join(d.select(F.col("doc_id").alias("other"), F.col("w").alias("v")), "other")
-    return near.groupBy("doc_id").agg(F.max(F.round(T.jaccard(F.col("w"), F.col("v")), 3)).alias("best"))
-
-
 _TOKENS = r"list_filter(list_distinct(regexp_extract_all(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), '[a-z0-9]+')), lambda x: length(x) > 1 AND x NOT IN ('the','and','for','with','from','this','that','into','are','was','were'))"
 
 
@@ -305,19 +261,6 @@ def quality_flags(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.ordinary_english(F.col("text")).alias("ordinary_english"), T.has_cjk(F.col("text")).alias("has_cjk"), T.prompt_leak(F.col("text")).alias("prompt_leak"))
 
 
-@query("SELECT doc_id, sha256(text) AS text_hash, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents")
-def canonical_hash(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash"))
-    n = d.groupBy("text_hash").agg(F.count("*").alias("copies"))
-    return d.join(n, "text_hash").select("doc_id", "text_hash", "copies")
-
-
-@query("""SELECT event_type, count(*) AS n, sum((props->>'k')::BIGINT)::BIGINT AS k_sum, count(DISTINCT props->>'k') AS k_values FROM events GROUP BY event_type""")
-def json_flatten(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k_sum"), F.count_distinct("p.k").alias("k_values"))
-
-
 _INTENTS = "CASE WHEN event_type = 'error' THEN 'revise' WHEN event_type = 'purchase' THEN 'confirm' WHEN event_type = 'signup' THEN 'propose' WHEN event_type = 'click' THEN 'build' ELSE 'clarify' END"
 
 
@@ -360,12 +303,6 @@ def week_keys(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.week_start(F.col("o_orderdate")).alias("week"))
 
 
-@query("""WITH t AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id) SELECT conv_id, sha256(text) AS merged FROM t""")
-def ordered_merge(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t")))).alias("b"))
-    return c.select("conv_id", F.sha2(F.array_join(F.transform("b", lambda x: x["t"]), "\n\n"), 256).alias("merged"))
-
-
 @query("""WITH t AS (SELECT *, last_value(CASE WHEN event_type = 'error' THEN true WHEN event_type = 'purchase' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events)
 SELECT user_id, count(*) FILTER (WHERE coalesce(m, false)) AS in_mode, count(*) AS n FROM t GROUP BY user_id""")
 def running_mode(spark, sf_dir):
@@ -374,11 +311,4 @@ def running_mode(spark, sf_dir):
     return out.groupBy("user_id").agg(F.count_if("mode").alias("in_mode"), F.count("*").alias("n"))
 
 
-@query("""SELECT user_id, bucket, event_id FROM (SELECT user_id, event_type AS bucket, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n <= 20""")
-def bucket_caps(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    w = W.partitionBy("event_type").orderBy("event_id")
-    return e.withColumn("n", F.row_number().over(w)).where("n <= 20").select("user_id", F.col("event_type").alias("bucket"), "event_id")
-
-
 from . import block_queries, box_queries, quality_queries, record_queries, rule_queries, text_queries  # noqa: E402, F401  (they register their queries)
