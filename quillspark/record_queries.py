@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import align, events, research, routing
+from .operators import align, events, research, rewrites, routing
 from .registry import picked, picked_sql, query, quoted, table
 from .sources import readers
 from .streaming import ledgers
@@ -449,3 +449,82 @@ def fitting_templates(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(k.alias("product_id"), F.col("c_mktsegment").alias("domain_id"), F.when(k % 2 == 0, "even").alias("profile_id"), F.when(k % 3 == 0, F.array(F.lit("m1"))).otherwise(F.array(F.lit("m2"))).alias("modules"), picked("c_custkey", _WISHES).alias("request"))
     t = spark.createDataFrame([(p, i, *map(list, rest)) for p, i, *rest in _TEMPLATES], "pos int, template_id string, domains array<string>, profiles array<string>, required_modules array<string>, markers array<string>, excluded array<string>")
     return routing.match_template(c, t)
+
+
+# --- rounds, prompts, starters, built pages ---------------------------------------------------------
+
+_ROUND_TYPES = ("main_research", "coverage_gap_check", "adversarial_saturation_check", "main_research", "odd")
+_ROUNDS = f"(SELECT o_custkey AS bundle_id, 'R' || (o_orderkey % 700)::VARCHAR AS round_id, o_orderkey AS pos, {picked_sql('o_orderkey', _ROUND_TYPES)} AS t, CASE o_orderkey % 3 WHEN 0 THEN ['Q1'] WHEN 1 THEN ['Q1', 'Q2'] ELSE ['Q2', 'Q9'] END AS q, CASE WHEN o_orderkey % 4 = 0 THEN ['Q1', 'Q7'] END AS keys FROM orders)"
+
+
+@query(f"""WITH r AS {_ROUNDS}, q AS (SELECT c_custkey AS bundle_id, unnest(['Q1', 'Q2']) AS question FROM customer), c AS (SELECT * FROM q WHERE bundle_id % 2 = 0), u AS (SELECT bundle_id, round_id, pos, t, unnest(q) AS question FROM r),
+k AS (SELECT bundle_id, question, list_distinct(list(t)) AS have, min(pos) FILTER (WHERE t = 'main_research') AS main, max(pos) FILTER (WHERE t = 'adversarial_saturation_check') AS check_ FROM u GROUP BY ALL),
+m AS (SELECT c.*, coalesce(have, []) AS have, main, check_ FROM c LEFT JOIN k USING (bundle_id, question)), g AS (SELECT m.bundle_id, m.question, bool_or(coalesce(main < u.pos AND u.pos < check_, false)) AS ok FROM m JOIN u ON u.bundle_id = m.bundle_id AND u.question = m.question AND u.t = 'coverage_gap_check' WHERE main IS NOT NULL AND check_ IS NOT NULL GROUP BY ALL)
+SELECT bundle_id, 'duplicate_research_round_id' AS code, round_id AS args FROM r GROUP BY bundle_id, round_id HAVING count(*) > 1 UNION ALL SELECT bundle_id, 'research_round_type_invalid', round_id FROM r WHERE t = 'odd' UNION ALL SELECT bundle_id, 'research_round_unknown_question', round_id || '|Q9' FROM r WHERE list_contains(q, 'Q9')
+UNION ALL SELECT bundle_id, 'research_round_strategy_types_unknown_question', round_id || '|' || x FROM (SELECT bundle_id, round_id, unnest(list_filter(keys, lambda x: NOT list_contains(q, x))) AS x FROM r WHERE keys IS NOT NULL) UNION ALL SELECT bundle_id, 'research_round_strategy_types_missing_question', round_id || '|' || x FROM (SELECT bundle_id, round_id, unnest(list_filter(q, lambda x: NOT list_contains(keys, x))) AS x FROM r WHERE keys IS NOT NULL)
+UNION ALL SELECT bundle_id, 'research_round_question_not_covered', question || '|' || x FROM (SELECT bundle_id, question, unnest(list_filter(['main_research', 'coverage_gap_check', 'adversarial_saturation_check'], lambda x: NOT list_contains(have, x))) AS x FROM m) UNION ALL SELECT bundle_id, 'research_round_order_invalid', question FROM g WHERE NOT ok""")
+def round_findings(spark, sf_dir):
+    k = F.col("o_orderkey")
+    targets = F.when(k % 3 == 0, F.array(F.lit("Q1"))).when(k % 3 == 1, F.array(F.lit("Q1"), F.lit("Q2"))).otherwise(F.array(F.lit("Q2"), F.lit("Q9")))
+    mapped = lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda _: F.array(F.lit("x"))))
+    other = F.when(k % 4 == 0, F.array(F.lit("Q1"), F.lit("Q7"))).otherwise(targets)
+    rounds = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("bundle_id"), F.concat(F.lit("R"), (k % 700).cast("string")).alias("round_id"), k.alias("pos"), picked("o_orderkey", _ROUND_TYPES).alias("round_type"), targets.alias("target_question_ids"), mapped(other).alias("strategy_types"), *[mapped(targets).alias(c) for c in ("checks_completed", "objects_checked", "dimensions_checked")])
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bundle_id"), F.when(F.col("c_custkey") % 2 == 0, "complete").otherwise("partial").alias("research_status"))
+    return _args(research.check_rounds(c, c.select("bundle_id", F.explode(F.array(F.lit("Q1"), F.lit("Q2"))).alias("question_id")), rounds))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05)""")
+def rows_without_partner(spark, sf_dir):
+    seen = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount > 0.05").select(F.col("l_orderkey").alias("o_orderkey"))
+    return align.missing(table(spark, sf_dir, "orders").select("o_orderkey"), seen, ["o_orderkey"])
+
+
+_DICTIONARY = (("title", "Red  Widget", "红色部件"), ("title", "small ring", "小环"), ("body", "red widget", "部件"))
+
+
+@query(f"""WITH d(role, source, output) AS (VALUES {", ".join(f"({quoted(r)}, {quoted(s)}, {quoted(o)})" for r, s, o in _DICTIONARY)}), p AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN 'title' ELSE 'body' END AS role, upper(p_name) AS text FROM part)
+SELECT p_partkey, output AS direct FROM p LEFT JOIN d ON d.role = p.role AND lower({collapsed("d.source")}) = lower({collapsed("p.text")})""")
+def dictionary_by_role(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 25, "title").otherwise("body").alias("role"), F.upper("p_name").alias("text"))
+    return rewrites.role_dictionary(p, spark.createDataFrame(list(_DICTIONARY), "role string, source string, output string")).select("p_partkey", "direct")
+
+
+@query("""SELECT p_partkey FROM part WHERE (p_type = 'ECONOMY' AND p_size % 3 = 1 AND contains(p_name, 'red')) OR (p_type = 'STANDARD' AND regexp_matches(p_name, '^small'))""")
+def lines_allowed(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("profile"), (F.col("p_size") % 3).alias("page"), F.col("p_name").alias("text"))
+    rules = spark.createDataFrame([("ECONOMY", 1, "red"), ("STANDARD", None, "^small"), ("STANDARD", 2, "^small")], "profile string, page int, pattern string")
+    return rewrites.allowed_by_profile(p, rules).select("p_partkey")
+
+
+_POLICY = ((1, "widget", "部件", "a part"), (2, "red", "红", ""), (3, "small ring", "小环", None), (4, "C++", "C++", "keep"), (5, "bolt", "", "x"))
+
+
+@query(f"""WITH t(pos, term, expected, note) AS (VALUES {", ".join(f"({p}, {quoted(t)}, {quoted(e)}, {quoted(n)})" for p, t, e, n in _POLICY)}), b AS (SELECT p_partkey AS block_id, p_name || CASE WHEN p_size % 4 = 0 THEN ' in C++' ELSE '' END AS text FROM part),
+r AS (SELECT block_id, substr('- ' || term || ' => ' || expected || CASE WHEN coalesce(note, '') <> '' THEN ' ' || note ELSE '' END, 1, 260) AS w, row_number() OVER (PARTITION BY block_id ORDER BY CASE WHEN regexp_matches(term, '^[A-Za-z0-9]+$') THEN list_contains(regexp_extract_all(text, '[A-Za-z0-9]+'), term) ELSE contains(text, term) END DESC, pos) AS n FROM b, t)
+SELECT block_id, string_agg(w, chr(10) ORDER BY n) AS context FROM r WHERE n <= 3 GROUP BY block_id""")
+def prompt_contexts(spark, sf_dir):
+    b = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("block_id"), F.concat("p_name", F.when(F.col("p_size") % 4 == 0, " in C++").otherwise("")).alias("text"))
+    return rewrites.policy_context(b, spark.createDataFrame(list(_POLICY), "pos int, term string, expected string, note string"), most=3)
+
+
+_STARTERS, _OWN = tuple((f"c{i % 4}", f"i{i}", f"question {i}", i) for i in range(12)), (("c1", "s1", "i1", "own question", 0), ("c2", "s2", "i9", "another", 3), ("c2", "s2", "i9", "later", 4))
+
+
+@query(f"""WITH i(c, id, question, pos) AS (VALUES {", ".join(f"({quoted(c)}, {quoted(i)}, {quoted(t)}, {p})" for c, i, t, p in _STARTERS)}), o(c, stage, id, question, pos) AS (VALUES {", ".join(f"({quoted(c)}, {quoted(s)}, {quoted(i)}, {quoted(t)}, {p})" for c, s, i, t, p in _OWN)}),
+m AS (SELECT p_partkey AS m, 's' || (p_size % 3)::VARCHAR AS stage, unnest(['c' || (p_size % 4)::VARCHAR, 'c' || (p_partkey % 4)::VARCHAR]) AS c FROM part), x AS (SELECT m, id, question, pos, 0 AS own FROM m JOIN i USING (c) UNION ALL SELECT m, id, question, pos, 1 FROM m JOIN o USING (c, stage)), k AS (SELECT *, max(own) OVER (PARTITION BY m) AS top FROM x)
+SELECT m AS module_id, id AS item_id, arg_min(question, pos) AS question, min(pos) AS pos FROM k WHERE own = top GROUP BY m, id""")
+def starters(spark, sf_dir):
+    m = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("module_id"), F.concat(F.lit("s"), (F.col("p_size") % 3).cast("string")).alias("stage_id"), F.array(*[F.concat(F.lit("c"), (F.col(c) % 4).cast("string")) for c in ("p_size", "p_partkey")]).alias("capabilities"))
+    items = spark.createDataFrame(list(_STARTERS), "capability string, item_id string, question string, pos int")
+    own = spark.createDataFrame([(c, s, i, t, p) for c, s, i, t, p in _OWN], "capability string, stage_id string, item_id string, question string, pos int")
+    return routing.starter_items(m, items, own)
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 3 = 0 AS todo, page_id % 4 = 0 AS net, page_id % 5 = 0 AS wrong, page_id % 7 = 0 AS lacks, page_id % 2 = 0 AS drift FROM pages)
+SELECT page_id, 'not_exact:data-run' AS code FROM p WHERE wrong UNION ALL SELECT page_id, 'missing:data-step' FROM p WHERE lacks UNION ALL SELECT page_id, 'forbidden:unfinished' FROM p WHERE todo UNION ALL SELECT page_id, 'forbidden:network' FROM p WHERE net UNION ALL SELECT page_id, 'hash_drift' FROM p WHERE drift""")
+def built_page_faults(spark, sf_dir):
+    k = F.col("page_id")
+    html = F.concat(F.lit('<main data-run="r'), F.when(k % 5 == 0, F.lit("x")).otherwise(k.cast("string")), F.lit('"><p data-step="a">one</p>'), F.when(k % 7 != 0, '<p data-step="b">two</p>').otherwise(""), F.when(k % 3 == 0, "<i>TODO</i>").otherwise(""), F.when(k % 4 == 0, "<script>fetch('/x')</script>").otherwise(""), F.lit("</main>"))
+    p = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    locks = p.select("page_id", F.concat(F.lit("r"), k.cast("string")).alias("run"), F.when(k % 2 == 0, "old").otherwise(F.sha2("html", 256)).alias("candidate_sha256"))
+    return rewrites.scan_candidates(p, locks, {"data-run": "run"}, {"data-step": ("a", "b")})
