@@ -528,3 +528,39 @@ def built_page_faults(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
     locks = p.select("page_id", F.concat(F.lit("r"), k.cast("string")).alias("run"), F.when(k % 2 == 0, "old").otherwise(F.sha2("html", 256)).alias("candidate_sha256"))
     return rewrites.scan_candidates(p, locks, {"data-run": "run"}, {"data-step": ("a", "b")})
+
+
+_STRATEGIES, _CHECKS, _OBJECTS, _IMPACTS = ("primary_sources", "counterevidence|freshness", "omission_scan", ""), ("freshness", "omitted_objects|freshness", ""), ("o1", "o2", ""), ("none", "changed", None, "odd", "none")
+_NEEDED, _SOURCE_KIND, _ACCESS = ("official_document|journalism", "other", ""), ("journalism", "official_document", "other"), ("full_text", "metadata_only", "substantive_sections")
+_SPLIT = "CASE WHEN {x} = '' THEN []::VARCHAR[] ELSE string_split({x}, '|') END"
+
+
+def _split(c):
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, "\\|"))
+
+
+@query(f"""WITH b AS (SELECT c_custkey AS bundle_id, CASE WHEN c_custkey % 3 = 0 THEN 'see [S1]' ELSE 'see [S1] and [S2]' END AS report FROM customer), q AS (SELECT bundle_id, unnest(['Q1', 'Q2']) AS question_id FROM b),
+s AS (SELECT bundle_id, i, 'S' || i::VARCHAR AS id, {picked_sql("bundle_id + i", _SOURCE_KIND)} AS kind, {picked_sql("bundle_id * i", _ACCESS)} AS access, CASE WHEN (bundle_id + i) % 2 = 0 THEN 'independent' ELSE 'first_party' END AS rel, CASE WHEN i = 1 THEN ['Q1', 'Q2'] ELSE ['Q2'] END AS qs FROM b, (VALUES (1), (2)) v(i)),
+h AS (SELECT bundle_id, question_id, list(kind) AS kinds, bool_or(rel = 'independent') AS ind FROM (SELECT s.bundle_id, unnest(qs) AS question_id, kind, rel FROM s JOIN b ON b.bundle_id = s.bundle_id WHERE access IN ('full_text', 'substantive_sections') AND contains(report, '[' || id || ']')) GROUP BY ALL),
+r AS (SELECT o_custkey AS bundle_id, o_orderkey AS pos, {picked_sql("o_orderkey", _ROUND_TYPES)} AS t, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['Q1'] ELSE ['Q1', 'Q2'] END) AS question_id, {_SPLIT.format(x=picked_sql("o_orderkey", _STRATEGIES))} AS strategies, {_SPLIT.format(x=picked_sql("o_orderkey", _CHECKS))} AS checks, {_SPLIT.format(x=picked_sql("o_orderkey", _OBJECTS))} AS objects, {picked_sql("o_orderkey // 2", _IMPACTS)} AS impact FROM orders),
+l AS (SELECT * FROM r WHERE t = 'adversarial_saturation_check' AND impact IN ('changed', 'strengthened', 'narrowed', 'none') QUALIFY row_number() OVER (PARTITION BY bundle_id, question_id ORDER BY pos DESC) = 1),
+n AS (SELECT bundle_id, question_id, flatten(list(objects)) AS objects, list_distinct(flatten(list(CASE WHEN t = 'main_research' THEN strategies ELSE [] END))) AS main FROM r GROUP BY ALL)
+SELECT q.bundle_id, q.question_id, array_to_string(list_sort(list_filter({_SPLIT.format(x=picked_sql("q.bundle_id", _NEEDED))}, lambda x: NOT list_contains(coalesce(h.kinds, []), x))), ',') AS missing_source_kinds, q.bundle_id % 2 = 0 AND NOT coalesce(h.ind, false) AS independent_evidence_missing, array_to_string(list_sort(list_filter(['freshness', 'omitted_objects'], lambda x: NOT list_contains(coalesce(l.checks, []), x))), ',') AS missing_checks,
+ array_to_string(list_sort(list_filter(['o1', 'o2'], lambda x: NOT list_contains(coalesce(n.objects, []), x))), ',') AS missing_objects, l.impact AS last_saturation_impact, EXISTS (SELECT 1 FROM r WHERE r.bundle_id = q.bundle_id AND r.question_id = q.question_id AND r.pos > l.pos AND coalesce(r.impact <> 'none', true)) AS changed_later,
+ list_has_any(coalesce(l.strategies, []), ['independent_validation', 'counterevidence', 'freshness', 'omission_scan']) AS adversarial, list_sort(coalesce(l.strategies, [])) <> list_sort(coalesce(n.main, [])) AS distinct_strategy
+FROM q LEFT JOIN h ON h.bundle_id = q.bundle_id AND h.question_id = q.question_id LEFT JOIN n ON n.bundle_id = q.bundle_id AND n.question_id = q.question_id LEFT JOIN l ON l.bundle_id = q.bundle_id AND l.question_id = q.question_id""")
+def question_coverage(spark, sf_dir):
+    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    customer = table(spark, sf_dir, "customer")
+    b = customer.select(c.alias("bundle_id"), F.when(c % 3 == 0, "see [S1]").otherwise("see [S1] and [S2]").alias("report"))
+    strings = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    q = customer.select(c.alias("bundle_id"), F.explode(strings("Q1", "Q2")).alias("question_id"), _split(picked("c_custkey", _NEEDED)).alias("required_source_kinds"), (c % 2 == 0).alias("independent_evidence_required"), strings("freshness", "omitted_objects").alias("required_checks"), strings("o1", "o2").alias("required_objects"), strings().alias("required_dimensions"))
+    s = customer.select(c.alias("bundle_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("i")).withColumns({"a": F.col("bundle_id") + F.col("i"), "m": F.col("bundle_id") * F.col("i")})
+    s = s.select("bundle_id", F.concat(F.lit("S"), F.col("i").cast("string")).alias("source_id"), picked("a", _SOURCE_KIND).alias("source_kind"), picked("m", _ACCESS).alias("access_status"), F.when(F.col("a") % 2 == 0, "independent").otherwise("first_party").alias("stakeholder_relation"), F.when(F.col("i") == 1, strings("Q1", "Q2")).otherwise(strings("Q2")).alias("question_ids"))
+    o = table(spark, sf_dir, "orders").withColumn("half", F.expr("o_orderkey div 2"))
+    targets = F.when(k % 2 == 0, strings("Q1")).otherwise(strings("Q1", "Q2"))
+    each = lambda v: F.map_from_arrays(targets, F.transform(targets, lambda _: v))
+    rounds = o.select(F.col("o_custkey").alias("bundle_id"), k.alias("pos"), picked("o_orderkey", _ROUND_TYPES).alias("round_type"), targets.alias("target_question_ids"), each(_split(picked("o_orderkey", _STRATEGIES))).alias("strategy_types"), each(_split(picked("o_orderkey", _CHECKS))).alias("checks_completed"), each(_split(picked("o_orderkey", _OBJECTS))).alias("objects_checked"), each(strings()).alias("dimensions_checked"), each(picked("half", _IMPACTS)).alias("conclusion_impact"))
+    out = research.coverage_diagnostics(b, q, s, rounds)
+    lists = ("missing_source_kinds", "missing_checks", "missing_objects")
+    return out.withColumns({x: F.array_join(x, ",") for x in lists}).drop("missing_dimensions")
