@@ -85,10 +85,10 @@ def candidate_terms(docs: DataFrame, max_terms: int = 80, id_col: str = "doc_id"
         prefixed = prefixed | F.col("term").startswith(p)
     good = (F.length("term") >= 2) & ~F.lower("term").isin(*[t.lower() for t in STOP_TERMS]) & (known | (T.low_value_reason(F.col("term")) == "")) & ~prefixed & ~F.col("term").rlike(r"\b[A-Z]{2,}s?\s+for\s+")
     found = placed.where(good).select("doc_id", "term", "kind", "n", order[F.col("kind")].alias("o"), "place")
-    listed = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(i).alias("place")) for i, (t, *_) in enumerate(KNOWN_TERMS)])
-    # The name's own marks are escaped by quoting it whole.
-    bordered = lambda x: F.regexp_like("text", F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), x["term"], F.lit(r"\E(?![A-Za-z0-9])")))
-    present = scoped.select("doc_id", F.explode(F.filter(listed, bordered)).alias("x")).select("doc_id", "x.term", F.lit("known").alias("kind"), F.lit(None).cast("long").alias("n"), F.lit(9).alias("o"), "x.place")
+    # A constant pattern for each, behind a cheap test; the names' own marks are escaped by quoting them whole.
+    shown = lambda t: F.col("text").contains(t) & F.col("text").rlike(rf"(?<![A-Za-z0-9])\Q{t}\E(?![A-Za-z0-9])")
+    listed = F.array(*[F.when(shown(t), F.struct(F.lit(t).alias("term"), F.lit(i).alias("place"))) for i, (t, *_) in enumerate(KNOWN_TERMS)])
+    present = scoped.select("doc_id", F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.term", F.lit("known").alias("kind"), F.lit(None).cast("long").alias("n"), F.lit(9).alias("o"), "x.place")
     once = found.unionByName(present).groupBy("doc_id", "term").agg(F.min_by(F.struct("kind", "n", "o", "place"), F.struct("o", "place")).alias("k"), F.max((F.col("kind") == "known").cast("int")).alias("is_known"))
     names = present.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("term").alias("_known"))
     kept = once.join(names, F.col("doc_id") == F.col("_d"), "left").where((F.col("is_known") == 1) | ~F.coalesce(F.exists("_known", lambda x: x.contains(F.col("term"))), F.lit(False)))
