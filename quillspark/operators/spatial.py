@@ -76,10 +76,11 @@ def reading_order(spans: DataFrame, split: float = 0.65) -> DataFrame:
 
 
 def toc_rows(spans: DataFrame) -> DataFrame:
-    """``doc_id, page, column, number, title``: title fragments between one page number's height and the next's."""
+    """``doc_id, page, column, number, title``: title fragments between one page number's height and the next's; of
+    numbers at one height, the leftmost takes them, then the least."""
     rows = spans.withColumn("column", F.coalesce("column", F.lit(0)))
-    numbers = rows.where(F.trim("text").rlike(r"^\d{1,3}$")).select("doc_id", "page", "column", F.trim("text").cast("int").alias("number"), F.col("bbox.y0").alias("y"))
-    w = W.partitionBy("doc_id", "page", "column").orderBy("y")
+    numbers = rows.where(F.trim("text").rlike(r"^\d{1,3}$")).select("doc_id", "page", "column", F.trim("text").cast("int").alias("number"), F.col("bbox.y0").alias("y"), F.col("bbox.x0").alias("x"))
+    w = W.partitionBy("doc_id", "page", "column").orderBy("y", "x", "number")
     numbers = numbers.withColumn("above", F.coalesce(F.lag("y").over(w), F.lit(float("-inf"))))
     parts = rows.where(~F.trim("text").rlike(r"^\d+$")).select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), F.col("column").alias("_c"), F.col("bbox.y0").alias("_y"), F.col("bbox.x0").alias("_x"), "text")
     met = numbers.join(parts, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & (F.col("column") == F.col("_c")) & (F.col("_y") > F.col("above") + 1) & (F.col("_y") <= F.col("y") + 1))

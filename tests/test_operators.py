@@ -383,3 +383,17 @@ def test_cut_references_stay():
     page = "<title>x&amp;&amp</title><p>a &am & &copy 1 &copy;&ampfoo; &#38;lt; &amp;lt; &lt;b&gt;<i title='&amp'>y</i></p>"
     assert R.visible_text(page) == "x&&amp\na &am & &copy 1 ©&ampfoo; &lt; &lt; <b> y"
     assert R.visible_text("&amp") == "&amp"
+
+
+def test_contents_rows_at_one_height(spark):
+    """Numbers at one height: the order of the input doesn't say which takes the titles."""
+    from itertools import permutations
+
+    titles = [(1, 0, 0, 20.0, 5.0, "Title")]
+    numbers = [(1, 0, 0, 20.0, 90.0, "7"), (1, 0, 0, 20.0, 80.0, "45"), (1, 0, 0, 20.0, 80.0, "12")]
+    seen = set()
+    for order in permutations(numbers):
+        df = spark.createDataFrame([*order, *titles], "doc_id long, page int, column int, y double, x double, text string").coalesce(1)
+        got = spatial.toc_rows(df.withColumn("bbox", F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"))))
+        seen.add(tuple(rows(got, "number", "title")))
+    assert seen == {((12, "Title"),)}
