@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import os
 import re
 import shutil
@@ -69,9 +70,25 @@ def materialize(spark: SparkSession, df: DataFrame, label: str, outer: bool = Fa
     if scopes:
         scopes[-1].append(path)
     df.write.parquet(path)
+    if next(_written) % COLLECT_EVERY == 0:
+        collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that are written between two collections of the driver's garbage.
+COLLECT_EVERY = 8
+_written = itertools.count(1)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver's JVM give up the plans, broadcasts and shuffles of steps that have ended.
+
+    Spark drops broadcasts and shuffle files only when their handles are collected, and a heap that has room isn't
+    collected: operators of many short steps would fill all of it.
+    """
+    spark._jvm.System.gc()
+
+
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
@@ -86,6 +103,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         _scopes.reset(token)
         for path in own:
             delete(spark, path)
+        collect_garbage(spark)
 
 
 def delete(spark: SparkSession, path: str) -> None:

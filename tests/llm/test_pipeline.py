@@ -62,3 +62,17 @@ def test_mixing_moves_no_texts(spark, docs):
     plan = mixing.mixed_documents(spark, docs.where("doc_id >= 0"))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert plan.count("Exchange hashpartitioning") == 0
+
+
+def test_garbage_of_ended_steps_goes(spark):
+    """The driver's garbage is collected when temporary tables go, and after every few tables."""
+    from quillspark.llm import common
+
+    weak = spark._jvm.java.util.WeakHashMap()
+    with common.temporary(spark):
+        weak.put(1 << 40, 1)  # the number is boxed, and nothing else holds it
+        for _ in range(common.COLLECT_EVERY):
+            common.materialize(spark, spark.range(1), "made")
+        assert weak.size() == 0
+        weak.put(1 << 40, 1)
+    assert weak.size() == 0
