@@ -146,3 +146,26 @@ def test_rule_tables_are_bounded(spark):
         assert "CartesianProduct" not in plan
     got = {r["rule"] for r in rulebook.semantic_findings(pages).collect()}
     assert got == {"section_heading_untranslated", "table_caption_untranslated"}
+
+
+def test_order_of_characters_bounds_the_ratio(monkeypatch):
+    """Common subsequences are counted right, bound every ratio, and spare the matcher texts of like characters."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc é") for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    hay = align.Haystacks(texts, 0.52)
+    for a in hay.texts:
+        for i, b in enumerate(hay.texts):
+            row = [0] * (len(b) + 1)
+            for x in a:
+                last = row
+                row = [0]
+                for j, y in enumerate(b):
+                    row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+            assert hay.in_order(a, i) == row[-1]
+            if a or b:
+                full = difflib.SequenceMatcher(None, a, b).ratio()
+                assert 2.0 * row[-1] / (len(a) + len(b)) >= full and hay.ratio(a, i, 0.0) == full
+    hay = align.Haystacks(["abcdefghijklmnopqrstuvwxyz0123456789"], 0.52)
+    calls = []
+    monkeypatch.setattr(difflib.SequenceMatcher, "find_longest_match", lambda *a: calls.append(a))
+    assert hay.best("9876543210zyxwvutsrqponmlkjihgfedcba") is None and not calls
