@@ -10,13 +10,14 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,8 @@ def materialize(spark: SparkSession, df: DataFrame, label: str, outer: bool = Fa
     df.write.parquet(path)
     if next(_written) % COLLECT_EVERY == 0:
         collect_garbage(spark)
+    else:
+        trim_native(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,6 +90,25 @@ def collect_garbage(spark: SparkSession) -> None:
     collected: operators of many short steps would fill all of it.
     """
     spark._jvm.System.gc()
+    trim_native(spark)
+
+
+def trim_native(spark: SparkSession) -> None:
+    """Let the driver's C library give freed memory back to the system, as ``jcmd System.trim_native_heap`` does.
+
+    The JVM compiles the code of every step anew, in memory that the library keeps once it is freed. JVMs that don't
+    know the command (other systems, Java 17 before 17.0.9) go on without it.
+    """
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    objects, strings = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+    types, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    for i, x in enumerate((name, "systemTrimNativeHeap", objects, strings)):
+        types[i], given[i] = jvm.java.lang.Class.forName(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")[i]), x
+    # By its interface, as the server's class is none that others may call.
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types)
+    with suppress(Py4JJavaError):
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())

@@ -1,6 +1,11 @@
+import gc
+import os
 import re
+import time
+from pathlib import Path
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, neardup, packing, pii
@@ -76,3 +81,30 @@ def test_garbage_of_ended_steps_goes(spark):
         assert weak.size() == 0
         weak.put(1 << 40, 1)
     assert weak.size() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/status"), reason="memory is read from /proc")
+def test_freed_native_memory_goes(spark):
+    """What the driver's JVM frees outside its heap goes back to the system, not only to the C library."""
+    from quillspark.llm import common
+
+    java = spark._jvm.java
+    pid = java.lang.ProcessHandle.current().pid()
+
+    def used() -> float:
+        return int(re.search(r"RssAnon:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) / 1024
+
+    common.collect_garbage(spark)
+    held = java.util.ArrayList()
+    for _ in range(1500):
+        held.add(java.nio.ByteBuffer.allocateDirect(60_000))
+    above = java.nio.ByteBuffer.allocateDirect(60_000)  # the library trims by itself only what lies above all else
+    full = used()
+    del held
+    for _ in range(20):  # buffers are freed a while after they are collected
+        gc.collect()
+        common.collect_garbage(spark)
+        if used() < full - 45:
+            break
+        time.sleep(0.2)
+    assert used() < full - 45 and above.capacity() == 60_000
