@@ -17,6 +17,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,13 +65,70 @@ def materialize(spark: SparkSession, df: DataFrame, label: str, outer: bool = Fa
 
     Within ``temporary`` the table is deleted when that ends; with ``outer``, only when the one around it ends, if any.
     """
+    path = _new_table(spark, label, outer)
+    df.write.parquet(path)
+    return _read_back(spark, df, path)
+
+
+def materialize_numbers(spark: SparkSession, df: DataFrame, label: str, outer: bool = False) -> DataFrame:
+    """``materialize`` for tables of numbers and lists of them, where Python workers write the files of a shared folder.
+
+    For each file that the JVM makes in a local or mounted folder, Hadoop starts three processes (``chmod``). Until such
+    a process is another program it holds all memory of the JVM once more, so an executor of 2 GB counts as 4 or more.
+    Operators of many short steps start hundreds. Other stores have no such processes and are written by Spark.
+
+    Files get hidden names, and the driver uncovers those of the attempts whose result came, so files of failed or
+    repeated tasks are never read.
+    """
+    ensure_importable(spark)
+    path = _new_table(spark, label, outer)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    if uri.getScheme() != "file":
+        df.write.parquet(path)
+        return _read_back(spark, df, path)
+    folder = uri.getPath()
+    os.makedirs(folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, writer = f"part-{uuid.uuid4().hex}.parquet", None
+        for rows in _grouped(batches, ARROW_BYTES):
+            writer = writer or pq.ParquetWriter(f"{folder}/_{name}", rows.schema)
+            writer.write_table(rows)
+        if writer:
+            writer.close()
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    for row in df.mapInArrow(write, "name string").collect():
+        os.rename(f"{folder}/_{row['name']}", f"{folder}/{row['name']}")
+    return _read_back(spark, df, path)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows of the batches in order, in tables of ``most`` bytes or one batch more."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _new_table(spark: SparkSession, label: str, outer: bool) -> str:
     path = f"{scratch_dir(spark)}/quillspark/{label}-{uuid.uuid4().hex}"
     scopes = _scopes.get()
     if outer:
         scopes = scopes[:-1]
     if scopes:
         scopes[-1].append(path)
-    df.write.parquet(path)
+    return path
+
+
+def _read_back(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     if next(_written) % COLLECT_EVERY == 0:
         collect_garbage(spark)
     else:
@@ -294,13 +352,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     with temporary(spark):
-        now = materialize(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+        now = materialize_numbers(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
         seen, was = signature(now), None
         while seen != was:
             both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
             large = star(both, True)
             down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-            now = materialize(spark, star(down, False).where("u <> v").distinct(), "star")
+            now = materialize_numbers(spark, star(down, False).where("u <> v").distinct(), "star")
             was, seen = seen, signature(now)
         ends = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct())
-        return materialize(spark, ends.groupBy("node").agg(F.min("label").alias("label")), "components", outer=True)
+        return materialize_numbers(spark, ends.groupBy("node").agg(F.min("label").alias("label")), "components", outer=True)
