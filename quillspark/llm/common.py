@@ -70,8 +70,21 @@ def materialize(spark: SparkSession, df: DataFrame, label: str, outer: bool = Fa
     return _read_back(spark, df, path)
 
 
+_by_workers: ContextVar[bool] = ContextVar("by_workers", default=False)
+
+
+@contextmanager
+def written_by_workers() -> Iterator[None]:
+    """Within, ``materialize_numbers`` uses Python workers: up to two more an executor, of about 140 MB each."""
+    token = _by_workers.set(True)
+    try:
+        yield
+    finally:
+        _by_workers.reset(token)
+
+
 def materialize_numbers(spark: SparkSession, df: DataFrame, label: str, outer: bool = False) -> DataFrame:
-    """``materialize`` for tables of numbers and lists of them, where Python workers write the files of a shared folder.
+    """``materialize`` for tables of numbers and lists of them; ``written_by_workers`` lets Python workers write its files.
 
     For each file that the JVM makes in a local or mounted folder, Hadoop starts three processes (``chmod``). Until such
     a process is another program it holds all memory of the JVM once more, so an executor of 2 GB counts as 4 or more.
@@ -84,7 +97,7 @@ def materialize_numbers(spark: SparkSession, df: DataFrame, label: str, outer: b
     path = _new_table(spark, label, outer)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
-    if uri.getScheme() != "file":
+    if not _by_workers.get() or uri.getScheme() != "file":
         df.write.parquet(path)
         return _read_back(spark, df, path)
     folder = uri.getPath()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _MULT, Powers, components, ensure_importable, materialize_numbers, mix64, shingle_sets, temporary
+from .common import _MULT, Powers, components, ensure_importable, materialize_numbers, mix64, shingle_sets, temporary, written_by_workers
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 85, 100
@@ -329,7 +329,7 @@ def near_duplicate_groups(
     link with nothing. Rows with a null id take part and never name a component. Repeated rows share their component;
     each that carries the smallest id is kept. Other columns of ``docs`` are ignored, whatever their names.
     """
-    with temporary(spark):
+    with temporary(spark), written_by_workers():
         rows, homes = _homes(spark, docs, id_col, text_col, width, numerator, denominator, k, slack)
     out = rows.withColumn("_node", F.when(F.col("n_shingles") > 0, F.col("node"))).join(homes.select(F.col("node").alias("_n"), "component_id"), F.col("_node") == F.col("_n"), "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

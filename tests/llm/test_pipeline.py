@@ -134,7 +134,7 @@ def test_tables_of_numbers_come_back_whole(spark):
 
     rows = [(i, i % 3 == 0, [i, None] if i % 5 else None, None if i % 7 else -i) for i in range(5000)]
     df = spark.createDataFrame(rows, "a long, b boolean, c array<long>, d int").repartition(5).where("a <> 1")
-    with common.temporary(spark):
+    with common.temporary(spark), common.written_by_workers():
         made = common.materialize_numbers(spark, df, "made")
         assert made.schema == df.schema and sorted(map(tuple, made.collect())) == [r for r in rows if r[0] != 1]
         folder = Path(made.inputFiles()[0].removeprefix("file:")).parent
