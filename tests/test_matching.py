@@ -169,3 +169,28 @@ def test_order_of_characters_bounds_the_ratio(monkeypatch):
     calls = []
     monkeypatch.setattr(difflib.SequenceMatcher, "find_longest_match", lambda *a: calls.append(a))
     assert hay.best("9876543210zyxwvutsrqponmlkjihgfedcba") is None and not calls
+
+
+def test_many_needles_at_once(monkeypatch):
+    """Needles in one call get what brute force finds, and the bounds leave the matcher none of unlike texts."""
+    rng = random.Random(8)
+    syllables = ["th", "er", "in", "on", "tion", "zu", "qua", "漢", "字", "é", "k9", "x", "W", " ", " ", " "]
+    text = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    texts = [text(rng.choice([2, 20, 70, 130, 300])) for _ in range(25)] + ["", "..."]
+    needles = [text(rng.choice([1, 5, 40, 90, 200, 900])) for _ in range(40)] + ["", "--", "<style a>th er{v1}", "th" * 80, texts[3]]
+    needles += ["".join(c for c in t if rng.random() < 0.7) for t in texts] + [t[: len(t) // 2] + text(9) for t in texts]
+    want = []
+    for a in needles:
+        scores = [align.match_score(a, t) for t in texts]
+        best = max(scores)
+        want.append((scores.index(best), best) if best >= 0.52 - 5e-5 else None)
+    for alone in (1, 10, 1000):
+        monkeypatch.setattr(align.Haystacks, "ALONE", alone)
+        monkeypatch.setattr(align.Haystacks, "PAIRS", 7 * alone)
+        got = align.Haystacks(texts, 0.52).best_of_all(needles)
+        assert [g and (g[0], pytest.approx(g[1], abs=1e-12)) for g in got] == want
+    assert 20 < sum(x is not None for x in want) < len(want) - 20
+    letters = [chr(i) for i in range(ord("a"), ord("z") + 1)]
+    hay = align.Haystacks(["".join(rng.sample(letters, 26)) for _ in range(30)], 0.52)
+    monkeypatch.setattr(align.Haystacks, "in_order", lambda *a: pytest.fail("a text was compared alone"))
+    assert hay.best_of_all([t[::-1] for t in hay.texts[:5]] + ["z" * 30]) == [None] * 6
