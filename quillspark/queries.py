@@ -168,10 +168,12 @@ def best_match_argmax(spark, sf_dir):
 
 @query()
 def fuzzy_match_difflib(spark, sf_dir):
-    rows = blocks.lines(table(spark, sf_dir, "documents")).select(T.collapse(F.col("line")).alias("text")).where("text <> ''").distinct()
+    docs = table(spark, sf_dir, "documents")
+    n_lines = docs.select(F.sum(F.size(F.split("text", "\n"))).alias("n")).first()["n"]
+    rows = blocks.lines(docs).select(T.collapse(F.col("line")).alias("text")).where("text <> ''").distinct()
     rows = rows.select(F.xxhash64("text").alias("line_id"), "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", T.collapse(F.col("text")).alias("text"))
-    return align.best_fuzzy(rows, items, "line_id", "item_id", [])
+    return align.best_fuzzy(rows, items, "line_id", "item_id", [], about=n_lines or 0)
 
 
 @query("""SELECT lang, count(*) AS n, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low,

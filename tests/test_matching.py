@@ -194,3 +194,22 @@ def test_many_needles_at_once(monkeypatch):
     hay = align.Haystacks(["".join(rng.sample(letters, 26)) for _ in range(30)], 0.52)
     monkeypatch.setattr(align.Haystacks, "in_order", lambda *a: pytest.fail("a text was compared alone"))
     assert hay.best_of_all([t[::-1] for t in hay.texts[:5]] + ["z" * 30]) == [None] * 6
+
+
+def test_lines_are_not_made_for_their_count(spark, tmp_path, monkeypatch):
+    """The query's teams are set by a plain count; too low or too high, it changes no row."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from quillspark import queries
+
+    texts = ["the quick brown fox\njumps over", None, "", "a lazy dog sleeps here\nthe quick brown fix"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([(1, "quick brown foxes"), (2, "a lazy dog slept")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    counted, count = [], DataFrame.count
+    monkeypatch.setattr(DataFrame, "count", lambda self: counted.append(self.columns) or count(self))
+    got = sorted(map(tuple, queries.fuzzy_match_difflib(spark, str(tmp_path)).collect()))
+    assert len(got) == 3 and ["line_id", "text"] not in counted
+    left = spark.createDataFrame([(i, t) for i, t in enumerate("the quick brown fox|jumps over|a lazy dog sleeps here".split("|"))], "line_id long, text string")
+    few, many = (sorted(map(tuple, align.best_fuzzy(left, items, "line_id", "item_id", [], about=n).collect())) for n in (0, 40_000))
+    assert few == many and len(few) == 2
